@@ -34,8 +34,13 @@ def planned_bytes(df: DataFrame) -> int:
 
 
 def piece_count(df: DataFrame) -> int:
-    """Three pieces for each shuffle partition, or more if pieces would get large."""
-    return max(3 * shuffle_width(df), math.ceil(planned_bytes(df) / PIECE_BYTES))
+    """Two pieces for each shuffle partition, or more if pieces would get large."""
+    return max(2 * shuffle_width(df), math.ceil(planned_bytes(df) / PIECE_BYTES))
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Fewer than shuffle partitions: every piece sends a blob to every bucket."""
+    return max(1, 2 * shuffle_width(df) // 3)
 
 
 def in_pieces(docs: DataFrame, pieces: int, *more) -> DataFrame:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, cuts, ids_of, in_pieces, mix, piece_count, rows_of, shuffle_width, spans, texts_of
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
 
 LENGTH, KMER = 50, 20
 _CHUNK = 1 << 15
@@ -335,10 +335,10 @@ def _remove(table: pa.Table, answers: pa.Table, buckets: int, length: int, kmer:
             later = a.ids[a.doc[c.run]] > c.least[c.of_run]
             edge += np.bincount(first[later], minlength=n + 1) - np.bincount(last[later] + length, minlength=n + 1)
             p, own = p[~later], bits[c.of_run[~later]]
-            for i in range(length - kmer + 1):
-                s = p[(own >> np.uint64(i)) & np.uint64(1) == 1] - i
-                if len(s):
-                    edge += np.bincount(s, minlength=n + 1) - np.bincount(s + length, minlength=n + 1)
+            p, own = p[own > 0], own[own > 0]
+            starts = [p[(own >> np.uint64(i)) & np.uint64(1) == 1] - i for i in range(length - kmer + 1)]
+            starts = np.concatenate(starts)
+            edge += np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
         gone = np.cumsum(edge[:-1]) > 0
         flip = gone.copy()
         flip[1:] &= ~gone[:-1]
@@ -376,7 +376,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text
     """
     if not 8 <= kmer <= length < 128 or length - kmer > 63 or kmer % 4:
         raise ValueError("kmer: a multiple of 4 from 8 to length; length: below 128, at most kmer + 63")
-    buckets = shuffle_width(docs)
+    buckets = bucket_count(docs)
     dealt = in_pieces(docs, piece_count(docs))
     how = {"buckets": buckets, "length": length, "kmer": kmer}
 
@@ -392,5 +392,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text
 
 
 def _bound(fn, **how):
-    """A plain one-argument function, as applyInArrow wants."""
-    return lambda table: fn(table, **how)
+    """A plain one-argument function, as applyInArrow wants, that plans show by its own name."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return fn(table, **how)
+
+    run.__name__ = fn.__name__
+    return run
