@@ -22,7 +22,7 @@ import numpy as np
 BITS = 20
 LANES, EVERY = 1024, 128
 _LOW = np.uint64(1 << 31)
-_HEAD = struct.Struct("<4sIQQIIII")
+_HEAD = "<4sIQQIIII"
 MAGIC = b"RNS1"
 
 
@@ -86,13 +86,13 @@ def encode(symbols: np.ndarray, table: Table, lanes: int = LANES, every: int = E
     marks = marks[::-1] or [(0, x.copy())]
     body = b"".join(struct.pack("<Q", put - p) + v.astype("<u8").tobytes() for p, v in marks) + b"".join(w.tobytes() for w in words[::-1])
     ids = zlib.crc32(np.ascontiguousarray(symbols, "<u4").tobytes())
-    return _HEAD.pack(MAGIC, lanes, n, put, every, len(marks), ids, zlib.crc32(body)) + body
+    return struct.pack(_HEAD, MAGIC, lanes, n, put, every, len(marks), ids, zlib.crc32(body)) + body
 
 
 def decode(block: bytes, table: Table, first: int = 0, last: int | None = None, verify: bool = True) -> np.ndarray:
     """The symbols, or those from checkpoint ``first`` up to checkpoint ``last``."""
-    magic, lanes, n, put, every, marks, ids, body_crc = _HEAD.unpack_from(block)
-    body = memoryview(block)[_HEAD.size :]
+    magic, lanes, n, put, every, marks, ids, body_crc = struct.unpack_from(_HEAD, block)
+    body = memoryview(block)[struct.calcsize(_HEAD) :]
     if magic != MAGIC or (verify and zlib.crc32(body) != body_crc):
         raise ValueError("a block is damaged")
     size = 8 + 8 * lanes
