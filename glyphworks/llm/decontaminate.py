@@ -97,15 +97,9 @@ def flag(docs: DataFrame, items: DataFrame, window: int = WINDOW, automaton_byte
     shuffle.  Item texts of more than automaton_bytes take the windows through a
     join instead, which returns the same columns, with spans left empty.
     """
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > automaton_bytes:
-        return flag_by_join(docs, items, window)
-    windows: dict[bytes, set[int]] = defaultdict(set)
-    for r in items.collect():
-        for w in windows_of(bytes(r.text), window):
-            windows[w].add(r.item_id)
-    shared = docs.sparkSession.sparkContext.broadcast({k: sorted(v) for k, v in windows.items()})
+    shared = _broadcast_windows(items, window, automaton_bytes)
+    if shared is None:
+        return flag_by_join(docs, items.where("item_id is not null and text is not null"), window)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return texts.mapInArrow(lambda batches: _scan_batches(batches, shared), FLAG_SCHEMA)
 
@@ -129,25 +123,24 @@ def flag_by_join(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window occurs, with all their columns."""
-    clean = "__clean"
-    windows = _broadcast_windows(items, window)
+    windows = _broadcast_windows(items, window, AUTOMATON_BYTES)
     if windows is None:
         dirty = flag_by_join(docs, items, window).where("n_hit > 0").select(F.col("doc_id").alias("__d"))
         return docs.join(dirty.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")), "left_anti")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(windows.value)
         for batch in batches:
-            dirty = [scan((t.as_py() or "").encode("utf-8", "surrogatepass"), automaton)[1] > 0 for t in batch.column("text")]
-            yield batch.append_column(clean, pa.array([not d for d in dirty], pa.bool_()))
+            text = batch.column("text").cast(pa.binary())
+            yield batch.filter(pa.array([not scan(t.as_py() or b"", automaton)[1] for t in text], pa.bool_()))
 
-    schema = docs.schema.add(clean, "boolean")
-    return docs.mapInArrow(mark, schema).where(clean).drop(clean)
+    return docs.mapInArrow(clean, docs.schema)
 
 
-def _broadcast_windows(items: DataFrame, window: int):
+def _broadcast_windows(items: DataFrame, window: int, limit: int):
+    """The windows of all items with their ids, to all executors; None if the texts are larger than the limit."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
-    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > AUTOMATON_BYTES:
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] > limit:
         return None
     windows: dict[bytes, set[int]] = defaultdict(set)
     for r in items.collect():

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphworks.llm._pieces import planned_bytes
+from glyphworks.llm._shared import written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -57,11 +58,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("final") * F.col("weight"))).alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, payload: tuple[str, ...] = ()) -> DataFrame:
+def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, copies (0 to epochs) and taken = copies x size."""
     digits = min(6, max(2, math.ceil(math.log(max(2, planned_bytes(docs) / (1 << 20)), 16))))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = docs.select("doc_id", "source", word_count().alias("size"), key.alias("key"), *payload).withColumn("cell", F.substring("key", 1, digits))
+    # texts are read once, to count their words; all that follows works on four small columns
+    rows, _ = written(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")), "sizes")
+    rows = rows.withColumn("cell", F.substring("key", 1, digits))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
@@ -79,7 +82,7 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
         taken = F.filter("finish", lambda t, e: F.struct(t.alias("t"), F.col("key").alias("key"), e.alias("e")) <= last)
         copies = F.coalesce(F.size(taken), F.lit(0))
     copies = F.when(F.col("finish").isNull(), F.lit(0)).otherwise(copies)
-    return timed.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), *payload)
+    return timed.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def _end(timed: DataFrame, digits: int) -> tuple[float, str, int] | None:
@@ -105,11 +108,9 @@ def _end(timed: DataFrame, digits: int) -> tuple[float, str, int] | None:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    columns = docs.columns
-    n = "__n"
-    rows = docs.withColumn(n, F.struct(*[F.col(f"`{c}`") for c in columns]))
-    taken = queue(rows, weights, epochs, seed, payload=(n,)).where("copies > 0")
-    return taken.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(f"{n}.*")
+    kept = queue(docs, weights, epochs, seed).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count() == F.col("__n"))
+    return docs.join(kept, same).withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__c")))).drop("__d", "__s", "__n", "__c", "__e")
 
 
 SQL = r"""

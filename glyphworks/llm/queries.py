@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphworks.llm import chat, decontaminate, jaccard, licenses, lm, mixing, repeats, tokens, topk
+from glyphworks.llm import chat, decontaminate, jaccard, licenses, lm, mixing, repeats, tokens, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,12 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_index(_table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_decontaminate, op4_exact_topk, op5_mix_sources, op6_ngram_jaccard, op7_chat_format, op8_license_scan, op9_token_output)
+    f.__name__: f for f in (op1_suffix_dedup, op2_lm_score, op3_decontaminate, op4_exact_topk, op5_mix_sources, op6_ngram_jaccard, op7_chat_format, op8_license_scan, op9_token_output, op10_toxicity)
 }
 
 SQL: dict[str, str] = {
