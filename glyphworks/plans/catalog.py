@@ -1,10 +1,298 @@
-"""Queries over the supplied tables, and DuckDB SQL with the same rows."""
+"""Queries over the supplied tables, and DuckDB SQL with the same rows.
+
+The supplied texts are clean, so most queries first inject known defects by the
+remainder of a key; the SQL injects the same ones.
+"""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from glyphworks import __version__
+from glyphworks.functions import text as T
+from glyphworks.functions.kernels import invalid_byte
+from glyphworks.operators import counts, hidden, inspector, json_check, mojibake, normalization, scripts
+from glyphworks.sources import envelope
+from glyphworks.streaming import quota
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- injected defects: remainder of the key -> (what is replaced, by what)
+
+HIDDEN = {0: 0x200B, 1: 0x202E, 2: 0x00A0, 3: 0xFEFF, 4: 0x001B, 5: 0x0085, 6: 0xE0041}
+HIDDEN_EDITS = {k: (". ", f".{chr(cp)} ") for k, cp in HIDDEN.items()}
+MOJIBAKE_EDITS = {0: ("é", "Ã©"), 1: (". ", ".â€™ "), 2: (". ", ".� "), 3: ("e ", "ðŸ˜€ ")}
+SCRIPT_EDITS = {0: ("a", "а"), 1: (". ", ". Ωμ "), 2: (". ", ". 漢字かな ")}
+
+
+def _edited(key: str, n: int, edits: dict[int, tuple[str, str]], text: str = "text") -> Column:
+    c = F.col(text)
+    for k, (a, b) in edits.items():
+        c = F.when(F.col(key) % n == k, F.replace(F.col(text), F.lit(a), F.lit(b))).otherwise(c)
+    return c
+
+
+def _sql_string(s: str) -> str:
+    return " || ".join(f"chr({ord(c)})" for c in s)
+
+
+def _sql_edited(key: str, n: int, edits: dict[int, tuple[str, str]], text: str = "text") -> str:
+    return f"case {key} % {n} " + " ".join(f"when {k} then replace({text}, {_sql_string(a)}, {_sql_string(b)})" for k, (a, b) in edits.items()) + f" else {text} end"
+
+
+_SQL_WORD = r"[\p{L}\p{N}\p{Pc}](?:[\p{L}\p{N}\p{Pc}\p{M}]|[''’][\p{L}\p{N}\p{Pc}])*"
+_SQL_LINES = r"1 + len(regexp_extract_all({t}, '\r\n|\r|\n'))"
+_SQL_UTF16 = r"length({t}) + len(regexp_extract_all({t}, '[\x{{10000}}-\x{{10FFFF}}]'))"
+
+
+def _sql_counts(t: str) -> str:
+    return f"strlen({t}) as utf8_bytes, length({t}) as unicode_code_points, length({t}) as unicode_scalars, cast(len(regexp_extract_all({t}, '{_SQL_WORD}')) as bigint) as words, cast({_SQL_LINES.format(t=t)} as bigint) as lines, cast({_SQL_UTF16.format(t=t)} as bigint) as javascript_string_units"
+
+
+def _sql_located(edited: str, pattern: str) -> str:
+    """Hits with the text before each, from documents."""
+    return f"""
+with t as (select doc_id, {edited} as t from documents where text is not null
+), p as (select doc_id, t, regexp_extract_all(t, '{pattern}') as h, string_split_regex(t, '{pattern}') as g from t
+), k as (select *, unnest(range(1, least(len(h), 500) + 1)) as n from p
+), o as (select doc_id, n, t, h[n] as o, cast(list_sum(list_transform(g[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:n - 1], lambda x: length(x))), 0) as bigint) as s from k
+), l as (select doc_id, cast(n as integer) as n, o, s, substring(t, 1, s) as pre from o
+), located as (select doc_id, n, o, s as scalar_start, cast(strlen(pre) as bigint) as byte_start, cast({_SQL_UTF16.format(t='pre')} as bigint) as utf16_start, cast({_SQL_LINES.format(t='pre')} as bigint) as line, cast(1 + length(string_split(pre, chr(10))[-1]) as bigint) as "column" from l)
+"""
+
+
+# --- counts
+
+
+@_query(f"select lang, count(*) as texts, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ('utf8_bytes', 'unicode_code_points', 'unicode_scalars', 'words', 'lines', 'javascript_string_units'))} from (select lang, {_sql_counts('text')} from documents) group by lang")
+def text_counts_by_lang(spark, sf_dir):
+    return counts.rollup(_table(spark, sf_dir, "documents"), ["lang"])
+
+
+@_query(f"select lang, source, count(*) as texts, {', '.join(f'cast(sum({c}) as bigint) as {c}' for c in ('utf8_bytes', 'unicode_code_points', 'unicode_scalars', 'words', 'lines', 'javascript_string_units'))} from (select lang, source, {_sql_counts('text')} from documents) group by lang, source")
+def corpus_rollup(spark, sf_dir):
+    return counts.rollup(_table(spark, sf_dir, "documents"), ["lang", "source"])
+
+
+_CRLF = {1: ("\n", "\r\n"), 2: ("\n", "\r")}
+
+
+@_query(f"select conv_id, turn, {_sql_counts('t')} from (select conv_id, turn, {_sql_edited('conv_id', 3, _CRLF)} as t from conversations)")
+def text_counts_rows(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").withColumn("t", _edited("conv_id", 3, _CRLF))
+    return rows.select("conv_id", "turn", *counts.native_counts("t"))
+
+
+@_query("select doc_id, cast(length(text) + case when doc_id % 3 = 1 then 1 else 0 end as bigint) as grapheme_clusters from documents")
+def grapheme_counts(spark, sf_dir):
+    family = "\U0001f469\U0001f3fd‍\U0001f4bb"
+    d = _table(spark, sf_dir, "documents").withColumn("t", F.when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit(family))).otherwise(F.replace("text", F.lit("é"), F.lit("é"))))
+    return counts.counts(d, "doc_id", "t").select("doc_id", "grapheme_clusters")
+
+
+@_query("select doc_id, strlen(text) as bytes from documents where strlen(text) > 32768")
+def oversized_inputs(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").where(F.octet_length("text") > envelope.INPUT_LIMIT).select("doc_id", T.utf8_bytes(F.col("text")).alias("bytes"))
+
+
+# --- hidden characters
+
+_SQL_RULES = "(values " + ", ".join(f"({cp}, '{rule}', '{cat}', '{sev}', '{ident}')" for cp, rule, cat, sev, ident, *_ in hidden.rule_rows()) + ") as r(cp, rule, category, severity, identifier_severity)"
+_SQL_HIDDEN = _sql_located(_sql_edited("doc_id", 8, HIDDEN_EDITS), hidden.PATTERN)
+
+
+def _hidden_sql(severity: str) -> str:
+    return _SQL_HIDDEN + f"""select doc_id, n, rule, category, {severity} as severity, byte_start, byte_start + strlen(o) as byte_end, utf16_start, utf16_start + {_SQL_UTF16.format(t='o')} as utf16_end, scalar_start, scalar_start + 1 as scalar_end,
+  line, "column", 'U+' || case when unicode(o) < 65536 then lpad(upper(to_hex(unicode(o))), 4, '0') else upper(to_hex(unicode(o))) end as code_point from located join {_SQL_RULES} on r.cp = unicode(o)"""
+
+
+def _hidden(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").withColumn("t", _edited("doc_id", 8, HIDDEN_EDITS))
+
+
+_HIDDEN_COLUMNS = ["doc_id", "n", "rule", "category", "severity", *T.LOCATION[:8], "code_point"]
+
+
+@_query(_hidden_sql("severity"))
+def hidden_findings(spark, sf_dir):
+    return hidden.findings(_hidden(spark, sf_dir), "doc_id", "t").select(*_HIDDEN_COLUMNS)
+
+
+@_query(_hidden_sql("identifier_severity"))
+def hidden_identifier_profile(spark, sf_dir):
+    return hidden.findings(_hidden(spark, sf_dir), "doc_id", "t", profile="identifier").select(*_HIDDEN_COLUMNS)
+
+
+def _summary_sql(edited: str, pattern: str) -> str:
+    return f"""with t as (select doc_id, {edited} as t from documents), s as (select doc_id, t, cast(len(regexp_extract_all(t, '{pattern}')) as bigint) as total from t)
+select doc_id, case when total > 0 then 'issues_found' else 'clean' end as status, total, least(total, 500) as returned, total > 500 as truncated, strlen(t) as bytes, {_SQL_UTF16.format(t='t')} as utf16_code_units, length(t) as unicode_scalars, {_SQL_LINES.format(t='t')} as lines from s"""
+
+
+@_query(_summary_sql(_sql_edited("doc_id", 8, HIDDEN_EDITS), hidden.PATTERN))
+def hidden_summary(spark, sf_dir):
+    return hidden.summary(_hidden(spark, sf_dir), "doc_id", "t")
+
+
+# --- mojibake
+
+_SQL_INTENDED = "(values ('Ã©', 'C3 A9', 'é'), ('â€™', 'E2 80 99', '’'), ('ðŸ˜€', 'F0 9F 98 80', '\U0001f600')) as i(shown, hex, intended)"
+
+
+@_query(_sql_located(_sql_edited("doc_id", 5, MOJIBAKE_EDITS), mojibake.PATTERN) + f"""select doc_id, n, case when o = chr(65533) then 'mojibake.replacement_character' else 'mojibake.utf8_bytes_as_legacy_text' end as rule,
+  byte_start, byte_start + strlen(o) as byte_end, scalar_start, scalar_start + length(o) as scalar_end, utf16_start, line, "column", line as line_end, "column" + length(o) as column_end, hex as interpreted_bytes_hex, intended as possible_intended_character from located left join {_SQL_INTENDED} on shown = o""")
+def mojibake_findings(spark, sf_dir):
+    d = _table(spark, sf_dir, "documents").withColumn("t", _edited("doc_id", 5, MOJIBAKE_EDITS))
+    return mojibake.findings(d, "doc_id", "t").select("doc_id", "n", "rule", "byte_start", "byte_end", "scalar_start", "scalar_end", "utf16_start", "line", "column", "line_end", "column_end", "interpreted_bytes_hex", "possible_intended_character")
+
+
+@_query(_summary_sql(_sql_edited("doc_id", 5, MOJIBAKE_EDITS), mojibake.PATTERN))
+def mojibake_summary(spark, sf_dir):
+    return mojibake.summary(_table(spark, sf_dir, "documents").withColumn("t", _edited("doc_id", 5, MOJIBAKE_EDITS)), "doc_id", "t")
+
+
+# --- normal forms
+
+_SQL_NFD = "text"
+for _c in map(chr, range(0xC0, 0x100)):
+    if len(_d := unicodedata.normalize("NFD", _c)) == 2:
+        _SQL_NFD = f"replace({_SQL_NFD}, '{_c}', '{_d[0]}' || chr({ord(_d[1])}))"
+
+
+@_query(f"""with d as (select doc_id, text, {_SQL_NFD} as nfd from documents), f as (select doc_id, text, unnest(['NFC', 'NFD', 'NFKC', 'NFKD']) as form, nfd from d), g as (select doc_id, form, text, case when form in ('NFC', 'NFKC') then nfc_normalize(text) else nfd end as t from f)
+select doc_id, form, t = text as is_normalized, strlen(t) as bytes, length(t) as unicode_scalars, length(t) as utf16_code_units, {_SQL_LINES.format(t='t')} as lines from g""")
+def normalization_forms(spark, sf_dir):
+    return normalization.forms(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "form", "is_normalized", "bytes", "unicode_scalars", "utf16_code_units", "lines")
+
+
+@_query(f"""with d as (select doc_id, text, {_SQL_NFD} as nfd from documents), c as (select *, length(text) - length(regexp_replace(text, '[{''.join(c for c in map(chr, range(0xC0, 0x100)) if len(unicodedata.normalize('NFD', c)) == 2)}][\\s\\S]*', '')) as tail from d where nfd <> text)
+select doc_id, cast(n as integer) as n, rule, length(text) - tail as scalar_start from c, (values (1, 'normalization.not_nfd'), (2, 'normalization.not_nfkd')) as r(n, rule)""")
+def normalization_findings(spark, sf_dir):
+    return normalization.findings(_table(spark, sf_dir, "documents"), "doc_id").select("doc_id", "n", "rule", "scalar_start")
+
+
+# --- scripts
+
+_SQL_LETTERS = f"""with t as (select doc_id, {_sql_edited('doc_id', 5, SCRIPT_EDITS)} as t from documents), c as (select doc_id, unnest(string_split(t, '')) as c, unnest(range(0, length(t))) as i from t), s as (
+  select doc_id, c, i, case when regexp_matches(c, '[A-Za-zÀ-ÖØ-öø-ÿ]') then 'Latin' when unicode(c) between 880 and 1023 then 'Greek' when unicode(c) between 1024 and 1279 then 'Cyrillic' when unicode(c) between 19968 and 40959 then 'Han' when unicode(c) between 12353 and 12438 then 'Hiragana' end as script from c
+), l as (select * from s where script is not null), n as (select doc_id, script, count(*) as count, min(i) as first_scalar from l group by 1, 2
+), d as (select doc_id, count(*) as n_scripts, arg_min(script, struct_pack(a := -count, b := first_scalar)) as dominant_script, bool_or(script = 'Latin') as latin from n group by 1)
+"""
+
+
+def _scripts(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "documents").withColumn("t", _edited("doc_id", 5, SCRIPT_EDITS))
+
+
+@_query(_SQL_LETTERS + "select doc_id, script, count, first_scalar from n")
+def script_census(spark, sf_dir):
+    return scripts.census(_scripts(spark, sf_dir), "doc_id", "t")
+
+
+@_query(_SQL_LETTERS + """, f as (select l.doc_id, l.c, l.i, l.script, case when c = chr(1072) and latin then 'confusable.curated_ascii_lookalike' when n_scripts > 1 and script <> dominant_script then 'mixed_script.character' end as rule from l join d using (doc_id)
+), g as (select *, row_number() over (partition by doc_id order by i) as n from f where rule is not null)
+select doc_id, cast(n as integer) as n, rule, case when c = chr(1072) then 'confusable' else 'mixed_script' end as category, script, case when c = chr(1072) then 'a' end as looks_like, i as scalar_start from g where n <= 500""")
+def mixed_script_findings(spark, sf_dir):
+    return scripts.findings(_scripts(spark, sf_dir), "doc_id", "t").select("doc_id", "n", "rule", "category", "script", "looks_like", "scalar_start")
+
+
+@_query(_SQL_LETTERS + """, f as (select l.doc_id, count(*) as total from l join d using (doc_id) where (c = chr(1072) and latin) or (n_scripts > 1 and script <> dominant_script) group by 1)
+select t.doc_id, case when coalesce(total, 0) > 0 then 'review_recommended' else 'no_review_needed' end as status, dominant_script, coalesce(n_scripts, 0) > 1 as is_mixed_script, coalesce(n_scripts, 0) as n_scripts, coalesce(total, 0) as total from t left join d using (doc_id) left join f using (doc_id)""")
+def script_summary(spark, sf_dir):
+    return scripts.summary(_scripts(spark, sf_dir), "doc_id", "t").select("doc_id", "status", "dominant_script", "is_mixed_script", "n_scripts", "total")
+
+
+# --- JSON, code points, bytes
+
+_BROKEN = {1: "substring(props, 1, length(props) - 1)", 2: "replace(props, '}', ',}')", 3: "replace(props, '\"', '''')", 4: "concat(props, ' x')", 5: "replace(props, ': ', ': NaN, \"z\": ')"}
+
+
+@_query("""with e as (select event_id, event_id % 6 as k, length(props) as n from events)
+select event_id, k = 0 as valid, case when k = 0 then 'object' end as value_type, case k when 1 then 'unexpected_end' when 2 then 'trailing_comma' when 3 then 'single_quoted_string' when 4 then 'extra_data' when 5 then 'non_standard_number' end as error_code,
+  cast(case k when 1 then n - 1 when 2 then n - 1 when 3 then 1 when 4 then n + 1 when 5 then 6 end as bigint) as character_offset, cast(case when k > 0 then 1 end as bigint) as line from e""")
+def json_validation(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    broken = F.col("props")
+    for k, edit in _BROKEN.items():
+        broken = F.when(F.col("event_id") % 6 == k, F.expr(edit.replace("''''", '"\'"'))).otherwise(broken)
+    return json_check.validate(e.withColumn("t", broken), "event_id", "t").select("event_id", "valid", "value_type", "error_code", "character_offset", "line")
+
+
+@_query("""with c as (select p_partkey, unnest(string_split(p_name, '')) as c, unnest(range(0, length(p_name))) as i from part where length(p_name) between 1 and 500)
+select p_partkey, i as "index", 'U+' || lpad(upper(to_hex(unicode(c))), 4, '0') as code_point, cast(unicode(c) as bigint) as "decimal", case when c = ' ' then '\\u0020' else c end as visible, i as byte_start, i + 1 as javascript_unit_end, cast(1 as bigint) as line, i + 1 as "column" from c""")
+def code_point_inspection(spark, sf_dir):
+    return inspector.inspect(_table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", "index", "code_point", "decimal", "visible", "byte_start", "javascript_unit_end", "line", "column")
+
+
+_BAD_BYTES = {0: ("E282", 0), 1: ("E228A1", 1), 2: ("FF", 0), 3: ("EDA080", 1), 4: ("F09F98", 0), 5: ("F09F2880", 2)}
+
+
+@_query(f"select doc_id, doc_id % 7 = 6 as valid_utf8, cast(case doc_id % 7 {' '.join(f'when {k} then strlen(text) + {n}' for k, (_, n) in _BAD_BYTES.items())} end as bigint) as first_invalid_byte from documents")
+def utf8_validation(spark, sf_dir):
+    data = F.col("text").cast("binary")
+    for k, (digits, _) in _BAD_BYTES.items():
+        data = F.when(F.col("doc_id") % 7 == k, F.concat(F.col("text").cast("binary"), F.unhex(F.lit(digits)))).otherwise(data)
+    d = _table(spark, sf_dir, "documents").select("doc_id", data.alias("b"))
+    return d.select("doc_id", F.is_valid_utf8(F.col("b").cast("string")).alias("valid_utf8"), invalid_byte(F.col("b")).alias("first_invalid_byte"))
+
+
+@_query("""select doc_id, doc_id % 4 = 0 as canonical from documents""")
+def base64_canonical(spark, sf_dir):
+    good = F.base64(F.col("doc_id").cast("string").cast("binary"))
+    k = F.col("doc_id") % 4
+    given = F.when(k == 0, good).when(k == 1, F.concat(good, F.lit("="))).when(k == 2, F.lit("AB==")).otherwise(F.concat(F.lit("Y Q=="), good))
+    return _table(spark, sf_dir, "documents").select("doc_id", envelope.is_canonical_base64(given).alias("canonical"))
+
+
+_BODIES = [
+    '{"input":{"kind":"text","value":"ID"}}', '{"input":{"kind":"bytes","base64":"SUQ=","declared_charset":"utf-8"},"profile":"identifier"}', '{"input":{"kind":"text","value":"ID"},"more":1}',
+    '{"input":{"kind":"file","value":"ID"}}', '{"input":{"kind":"text","value":"ID"},"profile":"strict"}', '{"input":', '{"input":{"kind":"bytes","base64":"SUQ","declared_charset":"utf-8"}}',
+]
+
+
+@_query("""with d as (select doc_id, doc_id % 7 as k from documents)
+select doc_id, case when k in (2, 3, 5) then 'invalid_request' when k = 4 then 'unsupported_profile' when k = 6 then 'invalid_base64' end as error, case k when 0 then 'text' when 1 then 'bytes' end as kind, case k when 0 then 'general' when 1 then 'identifier' end as profile,
+  case when k = 0 then cast(doc_id as varchar) when k = 1 then 'ID' end as text from d""")
+def envelope_validation(spark, sf_dir):
+    body = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (F.col("doc_id") % len(_BODIES)).cast("int") + 1)
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % len(_BODIES) == 1, body).otherwise(F.replace(body, F.lit("ID"), F.col("doc_id").cast("string"))).alias("body"))
+    return envelope.envelopes(d, "doc_id").select("doc_id", "error", "kind", "profile", "text")
+
+
+@_query("""with d as (select doc_id, doc_id % 7 as k from documents)
+select doc_id, case when k in (2, 3, 5) then 'invalid_request' when k = 4 then 'unsupported_profile' else 'invalid_base64' end as code, cast(400 as integer) as status from d where k >= 2""")
+def quarantine(spark, sf_dir):
+    body = F.element_at(F.array(*[F.lit(b) for b in _BODIES]), (F.col("doc_id") % len(_BODIES)).cast("int") + 1)
+    checked = envelope.envelopes(_table(spark, sf_dir, "documents").select("doc_id", body.alias("body")), "doc_id")
+    return envelope.split_valid(checked)[1].select("doc_id", "code", "status")
+
+
+@_query()
+def quota_admission(spark, sf_dir):
+    """Two admissions a day for each user; SQL has no such recursion, so tests compare it with a plain loop."""
+    e = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("actor"), "event_id", "ts")
+    return quota.admissions(e, limit=2, window=86_400.0).select("event_id", "actor", "admitted")
+
+
+@_query(f"select 'ok' as status, '{__version__}' as engine_version, '{hidden.RULESET}' as ruleset_version, '{scripts.CONFUSABLE_VERSION}' as confusable_data_version")
+def engine_info(spark, sf_dir):
+    return spark.range(1).select(F.lit("ok").alias("status"), F.lit(__version__).alias("engine_version"), F.lit(hidden.RULESET).alias("ruleset_version"), F.lit(scripts.CONFUSABLE_VERSION).alias("confusable_data_version"))
