@@ -70,12 +70,12 @@ SPELLINGS = [
 
 #: Known rows up to which the join may broadcast them, and statements up to which they are literals.
 KNOWN_ROWS = 100_000
-_COPYRIGHT = r"(?m)^[ \t\x0B\f\r*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+_COPYRIGHT = r"^[ \t\x0B\f\r*#/;-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
 _NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
-    c = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _COPYRIGHT, "")
+    c = F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), "(?md)" + _COPYRIGHT, "")
     c = F.concat(F.lit(" "), F.trim(F.regexp_replace(c, _NOT_WORD, " ")), F.lit(" "))
     for a, b in SPELLINGS:
         c = F.replace(c, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -114,3 +114,26 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     out = out.withColumn("line_licenses", found).drop("line_digests")
     joined = out.join(lookup, F.col("text_digest") == F.col("known_digest"), "left")
     return joined.select("doc_id", "text_digest", "license_id", "line_licenses", F.size("line_licenses").cast("long").alias("n_license_lines"))
+
+
+def _sql_canonical(text: str) -> str:
+    c = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '(?m){_COPYRIGHT}', '', 'g'), '{_NOT_WORD}', ' ', 'g')) || ' '"
+    for a, b in SPELLINGS:
+        c = f"replace({c}, ' {a} ', ' {b} ')"
+    return f"trim({c})"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+SQL = f"""
+with known as (select license_id, {_sql_canonical('text')} as form from (values {', '.join(f'({_quoted(i)}, {_quoted(t)})' for i, t in TEXTS + STATEMENTS)}) as v(license_id, text)
+), k as (select sha256(form) as digest, min(license_id) as license_id, min(form) as form from known where form <> '' group by 1
+), d as (select row_number() over () as row_no, doc_id, coalesce(text, '') as t from documents
+), l as (select row_no, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as i from d
+), h as (select row_no, i, sha256({_sql_canonical('line')}) as digest from l where contains(lower(line), 'licen')
+), m as (select row_no, string_agg(license_id, ',' order by i) as listed, count(*) as n from h join k using (digest) where contains(form, 'licen') and length(form) < 200 group by 1
+), g as (select row_no, doc_id, sha256({_sql_canonical('t')}) as text_digest from d)
+select doc_id, text_digest, license_id, coalesce(listed, '') as line_licenses, coalesce(n, 0) as n_license_lines from g left join k on text_digest = digest left join m using (row_no)
+"""

@@ -71,4 +71,5 @@ SQL: dict[str, str] = {
     "op4_exact_topk": topk.SQL,
     "op5_mix_sources": mixing.SQL,
     "op7_chat_format": chat.SQL,
+    "op8_license_scan": licenses.SQL,
 }
