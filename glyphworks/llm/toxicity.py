@@ -42,25 +42,27 @@ class Words:
     """The distinct words of some texts, their features, and the texts as indexes of them."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = _WORDS_ONLY[data]
-        hashes, self.count = token_hashes(data, offsets)
+        parts: list[tuple] = []
+        for a, b in _groups(offsets, 1 << 20):  # a megabyte at a time: the arrays below are many times that
+            folded, own = _WORDS_ONLY[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+            black = folded != 32
+            begin = black.copy()
+            begin[1:] &= ~black[:-1]
+            heads = own[:-1][own[:-1] < len(folded)]
+            begin[heads] = black[heads]
+            at, inside = np.flatnonzero(begin), np.flatnonzero(black)
+            size = np.diff(np.append(np.searchsorted(inside, at), len(inside)))
+            parts.append((*token_hashes(folded, own), at + offsets[a], size))
+        hashes, self.count, at, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
         distinct, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         self.word = (distinct & np.uint64(TABLE - 1)).astype(np.int64)
-        black = data != 32
-        begin = black.copy()
-        begin[1:] &= ~black[:-1]
-        heads = offsets[:-1][offsets[:-1] < len(data)]
-        begin[heads] = black[heads]
-        at = np.flatnonzero(begin)
-        inside = np.flatnonzero(black)
-        size = np.diff(np.append(np.searchsorted(inside, at), len(inside)))
         at, size = at[first], size[first]
         # the distinct words, each between two marks
         padded = size + 2
         start = np.cumsum(padded) - padded
         flat = np.full(int(padded.sum()) + 3, 1, np.uint64)
         flat[start + padded - 1] = 2
-        flat[spans(start + 1, size)] = data[spans(at, size)]
+        flat[spans(start + 1, size)] = _WORDS_ONLY[data[spans(at, size)]]
         three = flat[:-3] * np.uint64(0x9E3779B97F4A7C15) + flat[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + flat[2:-1] * np.uint64(0x165667B19E3779F9)
         four = mix(three + flat[3:] * np.uint64(0x27D4EB2F165667C5))
         grams = np.stack([mix(three), four], 1) & np.uint64(TABLE - 1)
@@ -226,20 +228,23 @@ def _telling(w: Words, label: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndar
 
     Also which rows of the embeddings are seen in SEEN texts or more: others tell nothing and stay zero.
     """
-    text = np.repeat(np.arange(len(w.count)), w.count)
-
-    def odds(feature: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = np.unique(owner * np.int64(TABLE) + feature)
-        f, y = seen % TABLE, label[seen // TABLE]
-        toxic, clean = np.bincount(f[y == 1], minlength=TABLE), np.bincount(f[y == 0], minlength=TABLE)
-        return np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / (len(label) - label.sum() + 1)), toxic + clean >= SEEN
-
-    by_word, known_words = odds(w.word[w.index], text)
-    pair = np.unique(text * np.int64(len(w.word)) + w.index)
-    t, word = pair // len(w.word), pair % len(w.word)
-    n = w.n_grams[word]
-    by_gram, known_grams = odds(w.grams[spans(w.gram_start[word], n)], np.repeat(t, n))
-    telling = np.where(known_words[w.word], by_word[w.word], 0) + np.maximum.reduceat(np.where(known_grams, by_gram, 0)[w.grams], w.gram_start)
+    counts = np.zeros((2, 2, TABLE), np.int64)  # words and grams, clean and toxic
+    ends = np.cumsum(w.count)
+    for a in range(0, len(w.count), 64):
+        b = min(len(w.count), a + 64)
+        n = w.count[a:b]
+        text = np.repeat(np.arange(a, b), n)
+        pair = np.unique(text * np.int64(len(w.word)) + w.index[ends[a] - w.count[a] : ends[b - 1]])
+        text, word = pair // len(w.word), pair % len(w.word)
+        n = w.n_grams[word]
+        for k, (owner, feature) in enumerate(((text, w.word[word]), (np.repeat(text, n), w.grams[spans(w.gram_start[word], n)]))):
+            seen = np.unique(owner * np.int64(TABLE) + feature)
+            for y in (0, 1):
+                counts[k, y] += np.bincount((seen % TABLE)[label[seen // TABLE] == y], minlength=TABLE)
+    clean, toxic = counts[:, 0], counts[:, 1]
+    odds = np.log((toxic + 0.5) / (label.sum() + 1)) - np.log((clean + 0.5) / (len(label) - label.sum() + 1))
+    known_words, known_grams = clean + toxic >= SEEN
+    telling = np.where(known_words[w.word], odds[0][w.word], 0) + np.maximum.reduceat(np.where(known_grams, odds[1], 0)[w.grams], w.gram_start)
     return telling, {"word": known_words, "gram": known_grams}
 
 
