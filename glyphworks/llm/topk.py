@@ -143,7 +143,8 @@ def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataF
         return spark.createDataFrame([], empty)
     rotation = _rotation(v, width)
     # the longest vectors give each query a first lower bound of its k-th score
-    longest = v.orderBy(F.desc("norm"), "vec_id").limit(SEED_ROWS).select("vec_id", "v").collect()
+    edge = v.select("norm").orderBy(F.desc("norm")).limit(SEED_ROWS).agg(F.min("norm")).first()[0]
+    longest = v.where(F.col("norm") >= edge).select("vec_id", "v").limit(SEED_ROWS).collect()
     seeds = (np.array([r.vec_id for r in longest]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in longest], np.int64))
     edges = v.approxQuantile("norm", [i / RANGES for i in range(1, RANGES)], 0.01)
     salts, parts = -(-n // (RANGES * BLOCK)), -(-n_queries // QUERIES)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import cuts, mix, spans, texts_of
+from glyphworks.llm._pieces import cuts, mix, spans, texts_of, thinned
 from glyphworks.llm._shingles import token_hashes
 from glyphworks.llm.decontaminate import FOLD
 
@@ -303,7 +303,8 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[list
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("l")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("l").cast("string").cast("binary")) % folds != 0)
     order = F.xxhash64("l")
-    picked = known.where("toxic = 1").orderBy(order).limit(2 * SAMPLE_TOXIC).union(known.where("toxic = 0").orderBy(order).limit(2 * SAMPLE_CLEAN))
+    some = [thinned(known.where(F.col("toxic") == y), order, 2 * n).orderBy(order).limit(2 * n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
+    picked = some[0].union(some[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
     rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l")).select("toxic", "text", F.xxhash64("doc_id").alias("h"))
     found = [rows.where(F.col("toxic") == y).orderBy("h").limit(n).collect() for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
