@@ -234,12 +234,14 @@ def _word_keys(rows: np.ndarray) -> list[np.ndarray]:
     return list(wide.view(">u8").astype(np.uint64).T)
 
 
-def _common(rows: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row with the one before (0 for the first)."""
+def _common(rows: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """Length of the common prefix of each row with the one before (0 for the first); ends: where the rows end, if they may not match beyond that."""
     out = np.zeros(len(rows), np.int64)
     if len(rows) > 1:
         differ = rows[1:] != rows[:-1]
         out[1:] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+        if ends is not None:
+            out[1:] = np.minimum(out[1:], np.minimum(ends[1:], ends[:-1]))
     return out
 
 
@@ -391,6 +393,93 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text
     return by_piece(partial(_remove, texts=texts, **how), shared.unionAll(found), schema)
 
 
+def classes(left: np.ndarray, right: np.ndarray, lens: np.ndarray, length: int, kmer: int) -> list[tuple[np.ndarray, int, int]]:
+    """The maximal repeats among contexts: (their members, bytes to the left of the anchor, bytes from it on).
+
+    An interval of the tree cannot be extended to the right; a class of its members with equal left extensions that
+    differ one byte further cannot be extended to the left.
+    """
+    order = np.lexsort(_word_keys(right)[::-1])
+    tree = intervals(_common(right[order], lens[order, 1]), kmer)
+    if not len(tree):
+        return []
+    depth, _, first, last = tree.T
+    size = last - first + 1
+    node = np.repeat(np.arange(len(tree)), size)
+    member = order[spans(first, size)]
+    inner = np.lexsort((*_word_keys(left[member])[::-1], node))
+    node, member = node[inner], member[inner]
+    same = _common(left[member], lens[member, 0])
+    same[cuts(node)] = -1
+    out = []
+    for i in range(length - kmer + 1):
+        start = np.flatnonzero(same < i)
+        many = np.diff(np.append(start, len(same)))
+        diverse = np.logical_or.reduceat(same == i, start)
+        listed = diverse & (many > 1) & (depth[node[start]] + i >= length)
+        for s, n in zip(start[listed].tolist(), many[listed].tolist(), strict=True):
+            out.append((member[s : s + n], i, int(depth[node[s]])))
+    return out
+
+
+def _send_occurrences(table: pa.Table, answers: pa.Table, buckets: int, length: int, kmer: int) -> pa.Table:
+    """Contexts as before, and for each of its anchors the context, document and place."""
+    sent = _send_contexts(table, answers, buckets, length, kmer)
+    if not table.num_rows:
+        return sent
+    a = _Anchors(table, buckets, length, kmer)
+    c = _Contexts(a, rows_of(answers, "bucket"), length, kmer)
+    begin = np.searchsorted(c.bucket, c.bucket)
+    own = c.of_run - begin[c.of_run]
+    doc = a.doc[c.run]
+    bucket = c.bucket[c.of_run]
+    piece, out = table.column("piece")[0].as_py(), []
+    for k in np.unique(bucket).tolist():
+        on = bucket == k
+        out.append((piece, int(k), 2, own[on].astype(np.int64).tobytes() + a.ids[doc[on]].tobytes() + (a.anchor[c.run[on]] - a.offsets[doc[on]]).tobytes()))
+    return pa.concat_tables([sent, blobs(out)])
+
+
+def _list_groups(table: pa.Table, length: int, kmer: int) -> pa.Table:
+    rows = rows_of(table, "piece")
+    counts, _, lens, left, right = _unpack_contexts([r for r in rows if r[2] == 1], length, kmer)
+    starts = dict(zip((r[0] for r in rows if r[2] == 1), np.cumsum(counts) - counts, strict=True))
+    context, doc, place = [], [], []
+    for p, _, kind, b in rows:
+        if kind == 2:
+            x = np.frombuffer(b, np.int64).reshape(3, -1)
+            context.append(x[0] + starts[p])
+            doc.append(x[1])
+            place.append(x[2])
+    context, doc, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, doc, place))
+    by = np.argsort(context, kind="stable")
+    edge = np.searchsorted(context[by], np.arange(len(left) + 1))
+    out: dict[str, list] = {"group": [], "n_bytes": [], "doc_id": [], "start": []}
+    for members, i, after in classes(left, right, lens, length, kmer):
+        text = left[members[0], :i][::-1].tobytes() + right[members[0], :after].tobytes()
+        own = by[spans(edge[members], edge[members + 1] - edge[members])]
+        out["group"] += [hashlib.sha256(text).hexdigest()] * len(own)
+        out["n_bytes"] += [i + after] * len(own)
+        out["doc_id"] += [None if d == np.iinfo(np.int64).max else d for d in doc[own].tolist()]
+        out["start"] += (place[own] - i).tolist()
+    return pa.table({k: pa.array(v, pa.string() if k == "group" else pa.int64()) for k, v in out.items()})
+
+
+def repeat_groups(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
+    """Maximal repeats of ``length`` bytes or more with all their occurrences: group, n_bytes, doc_id, start in bytes.
+
+    group is the digest of the repeated bytes.  Repeats are followed as far as the
+    windows of one anchor reach (2 * length - kmer bytes); a longer passage is a
+    chain of overlapping groups.
+    """
+    buckets = bucket_count(docs)
+    dealt = in_pieces(docs, piece_count(docs))
+    how = {"buckets": buckets, "length": length, "kmer": kmer}
+    shared = dealt.groupBy("piece").applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA).groupBy("bucket").applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
+    sent = dealt.groupBy("piece").cogroup(shared.groupBy("piece")).applyInArrow(lambda x, y: _send_occurrences(x, y, **how), BLOB_SCHEMA)
+    return sent.groupBy("bucket").applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
+
+
 def _bound(fn, **how):
     """A plain one-argument function, as applyInArrow wants, that plans show by its own name."""
 

@@ -82,6 +82,23 @@ def test_repeats_on_tables(spark, sf_dir):
     assert sorted([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got], key=str) == removed([(r.doc_id, (r.text or "").encode()) for r in d.collect()])
 
 
+def test_repeat_groups(docs, empty):
+    """Each group is whole: the same bytes at all places where they stand, and not extensible on either side within an anchor's reach."""
+    data = [(i, (t or "").encode()) for i, t, *_ in rows()]
+    found: dict[str, set] = {}
+    strings = {}
+    for r in repeats.repeat_groups(docs).collect():
+        text = next(t[r.start : r.start + r.n_bytes] for i, t in data if i == r.doc_id and hashlib.sha256(t[r.start : r.start + r.n_bytes]).hexdigest() == r.group)
+        assert len(text) == r.n_bytes >= 50
+        strings[r.group] = text
+        found.setdefault(r.group, set()).add((r.doc_id, r.start))
+    assert len(found) > 5
+    for g, places in found.items():
+        own = strings[g]
+        assert places == {(i, s) for i, t in data for s in range(len(t) - len(own) + 1) if t[s : s + len(own)] == own} and sum(t.count(own) > 0 for _, t in data) > 1
+    assert repeats.repeat_groups(empty).count() == 0
+
+
 def test_intervals():
     lcp = np.array([0, 3, 3, 1, 4, 2])
     assert sorted(map(tuple, repeats.intervals(lcp, 2).tolist())) == [(2, 1, 3, 5), (3, 1, 0, 2), (4, 2, 3, 4)]
