@@ -11,9 +11,12 @@ within a group of copies is paired with everything else in it:
    private (one), rare (up to ``frequent``), frequent.  Ordered private first,
    frequent last, two sets that link share a shingle in the prefix of length
    |s| - ceil(t |s|) + 1, and two in the prefix that is one longer.  A private
-   shingle cannot link groups.  So documents index, of that longer prefix, their
-   rare shingles one by one and their frequent ones in combinations of two; any
-   link between groups shows up under one of these.
+   shingle cannot link groups.  So documents index the rare shingles of the prefix one
+   by one, and the frequent ones of the longer prefix in combinations of two; any
+   link between groups shows up under one of these.  Where a key stands in
+   the prefix bounds the overlap of a link that first shows up there, and a small
+   parity map of each set bounds the difference of two sets from below; both only
+   drop pairs that cannot link.
 3. Pairs from different groups that meet in the index are compared exactly.
 
 Nulls: a null text is empty and linked with nothing; rows without a doc_id have no
@@ -35,7 +38,9 @@ from glyphworks.llm._shared import written
 from glyphworks.llm._shingles import WORDS, shingle_sets
 from glyphworks.llm.components import components
 
-PERCENT, HASHES, FREQUENT = 80, 6, 64
+PERCENT, HASHES, FREQUENT = 80, 6, 1024
+#: Words of the map of each indexed set that tells most unlike sets apart.
+MAP_WORDS = 8
 #: Places of the one-hash filter that spares texts without a pair the shuffle: a bounded broadcast.
 FILTER = 1 << 20
 _SIGNED = np.int64
@@ -174,24 +179,39 @@ def _classify(table: pa.Table, frequent: int) -> pa.Table:
     return blobs(out)
 
 
-def prefix_keys(shingles: np.ndarray, klass: np.ndarray, percent: int) -> np.ndarray:
-    """Index keys of a set: rare shingles of its longer prefix, and combinations of two of its frequent ones."""
+def prefix_keys(shingles: np.ndarray, klass: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set, and for each the largest overlap of a link that first shows up under it.
+
+    In the order private, rare, frequent, a link's first shared shingle stands in the
+    first |s| - ceil(t |s|) + 1 places.  If it is rare, it is a key; if it is frequent,
+    so is the second, one place further at most, and the two are a key.  What
+    stands before a first shared shingle is not shared, which bounds the overlap.
+    """
     n = len(shingles)
-    longer = min(n, n - (percent * n + 99) // 100 + 2)
-    order = np.lexsort((shingles, klass))[:longer]
+    least = (percent * n + 99) // 100
+    order = np.lexsort((shingles, klass))[: min(n, n - least + 2)]
     s, k = shingles[order], klass[order]
-    rare, common = s[k == 1], s[k == 2]
-    if longer < 2 or len(s) < 2:
-        return np.concatenate([rare, common])
+    first = n - least + 1
+    rare = np.flatnonzero(k[:first] == 1)
+    common = np.flatnonzero(k == 2)
+    if least < 2:  # a set so small that links share one shingle only
+        alone = np.concatenate([rare, common[common < first]])
+        return s[alone], n - alone
     i, j = np.triu_indices(len(common), 1)
-    pairs = mix(common[i] * np.uint64(0x9E3779B97F4A7C15) + common[j])
-    # a set so small that links share one shingle only has no combination
-    alone = common if (percent * n + 99) // 100 < 2 else common[:0]
-    return np.concatenate([rare, pairs, alone])
+    i, j = common[i], common[j]
+    i, j = i[i < first], j[i < first]
+    pairs = mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j])
+    return np.concatenate([s[rare], pairs]), np.concatenate([n - rare, np.minimum(n - i, 1 + n - j)])
+
+
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    """Which of MAP_WORDS x 64 places an odd number of shingles falls on; two maps differ in no more places than the sets do in shingles."""
+    odd = np.bincount((shingles & np.uint64(64 * MAP_WORDS - 1)).astype(np.int64), minlength=64 * MAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(_SIGNED)
 
 
 def _index(table: pa.Table, more: pa.Table, buckets: int, words: int, percent: int) -> pa.Table:
-    names = ["key", "doc_id", "component", "n"]
+    names = ["key", "doc_id", "component", "n", "room", *(f"m{k}" for k in range(MAP_WORDS))]
     if not table.num_rows:
         return pa.table({k: pa.array([], pa.int64()) for k in names})
     import pyarrow.compute as pc
@@ -215,9 +235,9 @@ def _index(table: pa.Table, more: pa.Table, buckets: int, words: int, percent: i
         own = every[done : done + len(s)]
         done += len(s)
         if own.any():
-            keys = prefix_keys(s, own, percent)
+            keys, room = prefix_keys(s, own, percent)
             if len(keys):
-                out.append((keys.view(_SIGNED), np.full(len(keys), i), np.full(len(keys), i if g is None else g), np.full(len(keys), len(s))))
+                out.append((keys.view(_SIGNED), np.full(len(keys), i), np.full(len(keys), i if g is None else g), np.full(len(keys), len(s)), room, *(np.full(len(keys), m) for m in parity_map(s))))
     return pa.table({k: pa.array(np.concatenate([o[c] for o in out]) if out else [], pa.int64()) for c, k in enumerate(names)})
 
 
@@ -230,10 +250,15 @@ def candidates(docs: DataFrame, labels: DataFrame, percent: int = PERCENT, words
     asked = dealt.groupBy("piece").cogroup(labels.select(piece("node").alias("piece"), "node", "component").groupBy("piece")).applyInArrow(lambda x, y: _ask(x, y, buckets, words), BLOB_SCHEMA)
     classes = asked.groupBy("bucket").applyInArrow(lambda t: _classify(t, frequent), BLOB_SCHEMA)
     more = classes.withColumn("node", F.lit(None).cast("long")).withColumn("component", F.lit(None).cast("long")).unionAll(marks)
-    index = dealt.groupBy("piece").cogroup(more.groupBy("piece")).applyInArrow(lambda x, y: _index(x, y, buckets, words, percent), "key long, doc_id long, component long, n long")
+    index = dealt.groupBy("piece").cogroup(more.groupBy("piece")).applyInArrow(lambda x, y: _index(x, y, buckets, words, percent), "key long, doc_id long, component long, n long, room long" + "".join(f", m{k} long" for k in range(MAP_WORDS)))
     index, _ = written(index, "index")
-    other = index.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    met = index.join(other, "key").where((F.col("component") != F.col("cb")) & (F.col("doc_id") < F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")))
+    other = index.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("room").alias("room_b"), *[F.col(f"m{k}").alias(f"w{k}") for k in range(MAP_WORDS)])
+    # o of a union of n + nb - o is t or more if and only if o (1 + t) is t (n + nb) or more
+    enough = F.least("room", "room_b") * (100 + percent) >= percent * (F.col("n") + F.col("nb"))
+    # sets that link differ in (1 - t) / (1 + t) of n + nb shingles at most
+    apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"w{k}"))) for k in range(MAP_WORDS)), F.lit(0))
+    enough = enough & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nb")))
+    met = index.join(other, "key").where((F.col("component") != F.col("cb")) & (F.col("doc_id") < F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & enough)
     return met.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
