@@ -82,6 +82,7 @@ def _stars(rows: DataFrame, key: str) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Those of the distinct pairs (a, b) of doc_ids whose shingle sets link."""
+    pairs, _ = written(pairs, "pairs")  # read three times below
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int")
     wanted = pairs.select(place("a").alias("place")).union(pairs.select(place("b").alias("place"))).distinct()  # at most FILTER rows
     texts = _plain(docs).where("doc_id is not null").withColumn("place", place("doc_id")).join(F.broadcast(wanted), "place", "left_semi").select("doc_id", "text")
