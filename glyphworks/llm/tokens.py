@@ -18,6 +18,7 @@ import re
 import sys
 import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,12 @@ from glyphworks.llm._shared import new_path, remove, written
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
 #: Parts of texts that a worker remembers, about 200 bytes each.
-MEMORY = 700_000
-_ODD = re.compile(r"(?:^|\s) | (?:\s|$)")
+MEMORY = 1_000_000
+#: White space other than the space and the line feed, and runs that a cut at single spaces would break.
+_RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = "ɐ"
+_MARKS = ".,;:!?"
 
 TOKEN_SCHEMA = "doc_id long, ids binary, n long"
 FILE_SCHEMA = "shard int, block long, shard_start long, n long, doc_ids binary, lengths binary, payload binary"
@@ -49,6 +52,26 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Parts(dict):
+    """Parts of texts to their packed ids; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode, room: int):
+        super().__init__()
+        self.encode, self.room, self.recent = encode, room, {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.recent.get(part)
+        if found is None:
+            found = self.encode(part)
+            if len(self) < self.room:
+                self[part] = found
+            else:
+                if len(self.recent) >= 50_000:
+                    self.recent.clear()
+                self.recent[part] = found
+        return found
+
+
 class Encoder:
     """ids of a text as packed integers; the same as Tokenizer.encode(text, add_special_tokens=False)."""
 
@@ -58,63 +81,46 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.alphabet = byte_alphabet()
-        self.memory = memory
-        self.heads: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.marks = {m: self._any(m) for m in [*_MARKS, "\n"]}
+        self.heads = _Parts(lambda p: self._part(p, ""), memory // 8)
+        self.parts = _Parts(lambda p: self._part(p, " "), memory)
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        """One pre-token, straight from the tokenizer's model."""
-        return self._pack([t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
-
-    def _learn(self, missing: set[str], into: dict[str, bytes], lead: str) -> dict[str, bytes]:
-        """Encodes parts; those that find no room are returned for this batch alone."""
-        found, hard = {}, []
-        marks = {m: self._pack(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
-        for p in missing:
-            body, end = (p[:-1], p[-1]) if p[-1:] in marks else (p, "")
-            if body.isalpha() and max(body) < _LATIN:
-                found[p] = self._word(lead + body) + (marks[end] if end else b"")
-            else:
-                hard.append(p)
-        if hard:
-            got = self.tokenizer.encode_batch_fast([lead + p for p in hard], add_special_tokens=False)
-            found |= {p: self._pack(e.ids) for p, e in zip(hard, got, strict=True)}
-        room = self.memory - len(into)
-        if room >= len(found):
-            into |= found
-            return {}
-        for p in list(found)[: max(0, room)]:
-            into[p] = found.pop(p)
-        return found
+        return array(self.code, ids).tobytes()
+
+    def _any(self, text: str) -> bytes:
+        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, part: str, lead: str) -> bytes:
+        """A part after a space or at the start of a text or line.
+
+        Letters alone are one pre-token, which the tokenizer's model encodes; a mark after letters and a line feed
+        between other characters are pre-tokens of their own.
+        """
+        if part.isalpha() and max(part) < _LATIN:
+            spelled = ("Ġ" * len(lead)) + part if part.isascii() else (lead + part).encode().decode("latin-1").translate(self.alphabet)
+            return self._pack([t.id for t in self.model.tokenize(spelled)])
+        if part[-1:] in self.marks and part[:-1].isalpha() and max(part[:-1]) < _LATIN and part[-1] != "\n":
+            return (self.parts if lead else self.heads)[part[:-1]] + self.marks[part[-1]]
+        if "\n" in part and part[0] != "\n" and part[-1] != "\n" and "\n\n" not in part and not _RARE.search(part) and " " not in part:
+            first, *rest = part.split("\n")
+            return (self.parts if lead else self.heads)[first] + b"".join(self.marks["\n"] + self.heads[r] for r in rest)
+        return self._any(lead + part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        missing: set[str] = set()
-        for c in cut:
-            missing.update(c[1:])
-        missing -= self.parts.keys()
-        parts = self.parts
-        if missing and (more := self._learn(missing, parts, " ")):
-            parts = _Both(parts, more)
-        heads = {c[0] for c in cut} - self.heads.keys()
-        more = self._learn(heads, self.heads, "") if heads else {}
-        get = parts.__getitem__
-        return [(self.heads.get(c[0]) or more.get(c[0]) or b"") + b"".join(map(get, c[1:])) for c in cut]
-
-
-class _Both:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key):
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
+        heads, get, out = self.heads, self.parts.__getitem__, []
+        for t in texts:
+            if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _RARE.search(t):
+                c = _CUT.split(t)
+            else:
+                c = t.split(" ")
+            out.append(heads[c[0]] + b"".join(map(get, c[1:])))
+        return out
 
 
 def worker_encoder(path: str) -> Encoder:
