@@ -5,18 +5,24 @@ character 3- and 4-grams.  The network reads windows of ``WINDOW`` words that ov
 half; the whole text is covered, and a document's score is that of its worst
 window.  Everything is numpy, training included.
 
-The network is fitted on the driver to a bounded sample of labelled documents outside
-fold 0 (SAMPLE_TOXIC, SAMPLE_CLEAN, of at most SAMPLE_BYTES).  Labels belong to
+The network is fitted in one task, on an executor, to a bounded sample of labelled
+documents outside fold 0 (SAMPLE_TOXIC, SAMPLE_CLEAN, of at most SAMPLE_BYTES); the
+driver passes its parameters on.  If that executor is lost, the task runs again and
+gives the same parameters.  Labels belong to
 documents, so each is represented by one window: at first the one with the
 most telling word by log-odds, then the one that the network itself scores highest.
 
 Nulls: a null text is empty; a text without words gets the share of toxic documents in
 the sample as its score, at most 0.49.  A null doc_id counts as "" for its fold.  Labels
-that are null or neither 0 nor 1 are not used.  Repeated rows get equal scores.
+that are null or neither 0 nor 1 are not used.  Repeated rows get equal scores; of
+several labels of a document the largest counts.  Texts of any length are scored whole,
+a megabyte of features at a time.  Without labels, or with one kind only, all scores are
+equal.  Extra columns, whatever their names, are not read; keep_clean returns them.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -298,23 +304,44 @@ def fit(texts: list[bytes], labels: np.ndarray) -> Network:
     return net
 
 
-def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[list[bytes], np.ndarray]:
-    """The bounded training sample: labelled documents outside fold 0, by a hash of their id."""
+def sample(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
+    """(toxic, h, text): the bounded training sample, labelled documents outside fold 0 by a hash of their id."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("l")).agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("l").cast("string").cast("binary")) % folds != 0)
     order = F.xxhash64("l")
     some = [thinned(known.where(F.col("toxic") == y), order, 2 * n).orderBy(order).limit(2 * n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
     picked = some[0].union(some[1])
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where(F.octet_length("text").between(1, SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l")).select("toxic", "text", F.xxhash64("doc_id").alias("h"))
-    found = [rows.where(F.col("toxic") == y).orderBy("h").limit(n).collect() for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
-    return [bytes(r.text) for part in found for r in part], np.array([r.toxic for part in found for r in part], np.int64)
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("l")).select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("h"), "text")
+    clean, toxic = (rows.where(F.col("toxic") == y).orderBy("h", "text").limit(n) for y, n in ((0, SAMPLE_CLEAN), (1, SAMPLE_TOXIC)))
+    return toxic.union(clean)
+
+
+def packed(parameters: dict[str, np.ndarray]) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **parameters)
+    return out.getvalue()
+
+
+def unpacked(blob: bytes) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(blob)) as f:
+        return {k: f[k] for k in f.files}
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[dict[str, np.ndarray], float]:
-    texts, y = sample(docs, labels, folds)
-    share = float(y.mean()) if len(y) else 0.0
-    return fit(texts, y).p, min(0.49, share)
+    """Parameters, and the score of a text without words.  One task on an executor sees the sample; the driver gets the parameters only."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(b.column("toxic").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True)]
+        held.sort(key=lambda r: (-r[0], r[1], r[2]))
+        y = np.array([r[0] for r in held], np.int64)
+        blob = packed(fit([r[2] for r in held], y).p)
+        yield pa.RecordBatch.from_arrays([pa.array([float(y.mean()) if len(y) else 0.0]), pa.array([blob], pa.binary())], names=["share", "parameters"])
+
+    row = sample(docs, labels, folds).coalesce(1).mapInArrow(learn, "share double, parameters binary").first()
+    if row is None:  # a table without partitions
+        return fit([], np.zeros(0, np.int64)).p, 0.0
+    return unpacked(row.parameters), min(0.49, row.share)
 
 
 def _groups(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
