@@ -7,12 +7,18 @@ range in blocks of whole documents, then read the files back.
 Texts are cut at single spaces between other characters, where the tokenizer's own
 pre-tokenizer always cuts, so a part can be encoded once for all its occurrences.
 
+The string of an added token in a text, such as ``<|endoftext|>``, gets that token's id,
+as in the library's own call.
+
 Nulls: a null text is empty and has the end id only; a null doc_id comes last.
-Rows with the same doc_id are ordered by a hash of their ids, and each is kept.
+Rows with the same doc_id are ordered by a hash of their ids, and each is kept.  A very
+long text is one document of one block.  An empty table gives files without blocks.
+Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -72,21 +78,41 @@ class _Parts(dict):
         return found
 
 
+def splits_at_spaces(setup: dict) -> bool:
+    """Whether the shortcuts of Encoder hold: byte-level BPE alone, with its own pattern, and nothing before or after it."""
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    model = setup["model"]
+    return (
+        {k: v for k, v in (setup["pre_tokenizer"] or {}).items() if k in level} == level
+        and not any(setup.get(k) for k in ("normalizer", "truncation", "padding"))
+        and (setup.get("post_processor") or {"type": "ByteLevel"})["type"] == "ByteLevel"
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    )
+
+
 class Encoder:
-    """ids of a text as packed integers; the same as Tokenizer.encode(text, add_special_tokens=False)."""
+    """ids of a text as packed integers; the same as Tokenizer.encode(text, add_special_tokens=False).
+
+    Texts that hold the string of an added token, and all texts where the tokenizer is of another kind than the
+    shortcuts are made for, go to the library whole.
+    """
 
     def __init__(self, path: str, memory: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        setup = json.loads(self.tokenizer.to_str())
+        self.quick = splits_at_spaces(setup)
+        added = [t["content"] for t in setup["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.alphabet = byte_alphabet()
-        self.marks = {m: self._any(m) for m in [*_MARKS, "\n"]}
+        self.marks = {m: self._any(m) for m in [*_MARKS, "\n"]} if self.quick else {}
         self.heads = _Parts(lambda p: self._part(p, ""), memory // 8)
         self.parts = _Parts(lambda p: self._part(p, " "), memory)
 
@@ -113,8 +139,13 @@ class Encoder:
         return self._any(lead + part)
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.quick:
+            return [self._pack(e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         heads, get, out = self.heads, self.parts.__getitem__, []
         for t in texts:
+            if self.added(t):
+                out.append(self._any(t))
+                continue
             if "  " in t or " \n" in t or "\n " in t or t[:1] == " " or t[-1:] == " " or _RARE.search(t):
                 c = _CUT.split(t)
             else:

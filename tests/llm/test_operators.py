@@ -281,7 +281,6 @@ def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.tokenizer_path(None))
-    t.encode_special_tokens = True
     expected, start = [], 0
     ids = [(r[0], [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]) for r in rows()]
     got = tokens.read_blocks(spark, tokens.write_blocks(docs, tokens.new_path(spark, "t"), block_tokens=50), ids=True).orderBy("start").collect()
@@ -294,10 +293,17 @@ def test_tokens(spark, docs, empty):
 
 
 def test_encoder():
-    e = tokens.Encoder(tokens.tokenizer_path(None), memory=20)
-    texts = ["", "  ", " a", "a ", "can't  stop\n\n x", "<|endoftext|> hi", "日本 語 \U0001f600 a", "x\x1c y", "tab\t word", "é è.. a,b. ..", "End.\nNext, line\n\ntwo", "a\nb", "a \nb", "nb\xa0sp \xa0 x", BASE * 3]
-    expected = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [list(np.frombuffer(g, e.kind)) for g in e.encode(texts)] == expected
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = ["", "  ", " a", "a ", "can't  stop\n\n x", "<|endoftext|>", "<|endoftext|> hi a<|endoftext|>", "<|endoftext |> x", "日本 語 \U0001f600 a", "x\x1c y", "tab\t word", "é è.. a,b. ..", "End.\nNext, line\n\ntwo", "a\nb", "a \nb", "nb\xa0sp \xa0 x", BASE * 3, "A" * 40_000]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        e = tokens.Encoder(path, memory=20)
+        library = Tokenizer.from_file(path)
+        assert [list(np.frombuffer(g, e.kind)) for g in e.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert e.quick == (name == "byte_bpe_50k.json")
+    assert list(np.frombuffer(tokens.Encoder(tokens.tokenizer_path(None)).encode(["<|endoftext|>"])[0], "<u2")) == [50256]
 
 
 # --- 10
