@@ -24,7 +24,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.flag(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    listed = F.array_join(F.sort_array(F.transform("items", lambda i: i.cast("string"))), ",")
+    listed = F.array_join(F.sort_array("items"), ",")
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
