@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import re
 import sys
 import zlib
 from collections import Counter
@@ -134,18 +135,37 @@ def test_lm_is_a_distribution():
 # --- 3
 
 
+ITEMS = [
+    ("1", "The QUICK brown-fox jumps over the lazy dog while seven"), ("1", "The QUICK brown-fox jumps over the lazy dog while seven"), ("x-2", "one, two!"), ("3", None), ("4", "..."), (None, "short"), ("5", "short cut"),
+    ("10", "seven wizards brew a potion of words that nobody reads twice"),
+]
+
+
 def test_decontaminate(spark, docs, empty):
-    items = spark.createDataFrame([(1, "The QUICK brown-fox jumps over the lazy dog while seven"), (1, "The QUICK brown-fox jumps over the lazy dog while seven"), (2, "one, two!"), (3, None), (4, "..."), (None, "short"), (5, "short cut")], "item_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
     flat = decontaminate.flag(docs, items)
-    assert {(r.doc_id, r.n_hit) for r in flat.where("n_hit > 0").collect()} == {(i, 11) for i in (0, 1, 2, 10, 11, None)} | {(6, 2)}
-    joined = decontaminate.flag(docs, items, automaton_bytes=0)
-    columns = ["doc_id", "n_words", "n_hit", "items"]
-    assert sorted(flat.select(columns).collect(), key=str) == sorted(joined.select(columns).collect(), key=str)
+    assert {(r.doc_id, r.n_hit, *r["items"]) for r in flat.where("n_hit > 0").collect()} == {(i, 21, "1", "10") for i in (0, 1, 2, 10, 11, None)} | {(6, 2, "x-2")}
+    for size in (1, 60, 200):  # a window each, or a few
+        sharded = decontaminate.flag(docs, items, automaton_bytes=size)
+        assert sorted(map(str, flat.collect())) == sorted(map(str, sharded.collect()))
     r = flat.where("doc_id = 6").first()
-    assert (r.span_starts, r.span_ends, r.items) == ([0], [7], [2])
+    assert (r.span_starts, r.span_ends, r["items"]) == ([0], [7], ["x-2"])
     clean = decontaminate.keep_clean(docs, items)
     assert clean.columns == docs.columns and clean.count() == docs.count() - flat.where("n_hit > 0").count()
-    assert decontaminate.flag(empty, items).count() == 0 and decontaminate.flag(docs, items.limit(0)).where("n_hit > 0").count() == 0
+    assert sorted(map(str, clean.collect())) == sorted(map(str, decontaminate.keep_clean(docs, items, automaton_bytes=300).collect()))
+    assert decontaminate.flag(empty, items).count() == 0 and decontaminate.keep_clean(empty, items).count() == 0
+    for none in (items.limit(0), items.where("text is null")):
+        assert decontaminate.flag(docs, none).where("n_hit > 0").count() == 0 and decontaminate.keep_clean(docs, none).count() == docs.count()
+    # an item id of another type; rows are judged one by one, whatever their ids
+    twice = spark.createDataFrame([(1, "one two"), (1, "other words"), (None, "one two"), (None, "short")], "doc_id long, text string")
+    assert sorted(map(tuple, decontaminate.keep_clean(twice, spark.createDataFrame([(2, "one, two!")], "item_id long, text string")).collect()), key=str) == [(1, "other words"), (None, "short")]
+
+
+def test_decontaminate_long_text(spark):
+    long = "word " * 200_000 + "one two " + "word " * 10
+    df = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    r = decontaminate.flag(df, spark.createDataFrame(ITEMS, "item_id string, text string")).first()
+    assert (r.n_words, r.n_hit, r.span_starts, r.span_ends) == (200_012, 2, [1_000_000], [1_000_007])
 
 
 # --- 4
@@ -256,10 +276,38 @@ def test_chat(spark):
 
 
 def test_licenses(spark, docs, empty):
-    texts = [(1, "Copyright (c) 2020 Somebody\n\n" + licenses.MIT.upper()), (2, licenses.ISC.replace(",", "")), (3, "Words.\nReleased under the MIT Licence!\nmore"), (4, None), (5, "©"), (6, licenses.APACHE_NOTICE.replace("License", "Licence"))]
-    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    assert [got[i].license_id for i in range(1, 7)] == ["MIT", "ISC", None, None, None, "Apache-2.0"] and got[3].line_licenses == ["MIT"]
-    assert licenses.scan(docs).count() == len(rows()) and licenses.scan(empty).count() == 0
+    texts = [
+        (1, "Copyright (c) 2020 Somebody\n\n" + licenses.MIT.upper()), (2, licenses.ISC.replace(",", "")), (3, "Words.\nReleased under the MIT Licence!\nmore\nReleased under the mit license"), (4, None), (5, "©"),
+        (6, licenses.APACHE_NOTICE.replace("License", "Licence")), (7, licenses.BSD_3.replace(". ", ".\n  ").replace("COPYRIGHT HOLDERS", "copyright\n# owners")), (8, "word " * 100_000 + "\nLicensed under CC BY 4.0.\n" + "word " * 1000),
+        (9, ""), (3, "Words.\nReleased under the MIT Licence!\nmore\nReleased under the mit license"),
+    ]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    for how in ({}, {"broadcast_bytes": 0}):
+        rows = licenses.scan(df, **how).collect()
+        got = {r.doc_id: r for r in rows}
+        assert [got[i].license_id for i in range(1, 10)] == ["MIT", "ISC", None, None, None, "Apache-2.0", "BSD-3-Clause", None, None]
+        assert [r.line_licenses for r in rows if r.doc_id == 3] == [["MIT", "MIT"]] * 2 and got[8].line_licenses == ["CC-BY-4.0"] and len(rows) == len(texts)
+    assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
+
+
+def test_many_known_licenses(spark):
+    """No statement is too long, too unlike the others or one too many."""
+    known = [(f"L-{i}", f"Terms number {i} apply " + "and so on " * (i % 60)) for i in range(1500)] + [(None, "no id"), ("L-x", None), ("L-y", "...")]
+    docs = spark.createDataFrame([(i, f"Intro\n{t}\nend") for i, (_, t) in enumerate(known[:1500])], "doc_id long, text string")
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = {r.doc_id: r.line_licenses for r in licenses.scan(docs, spark.createDataFrame(known, "license_id string, text string"), **how).collect()}
+        assert got == {i: [f"L-{i}"] for i in range(1500)}
+
+
+def test_license_digests(spark):
+    """The listed digests are those of the texts, where they are at hand."""
+    folder = "/usr/share/common-licenses"
+    if not os.path.exists(f"{folder}/GPL-3"):
+        pytest.skip("no licence texts here")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}
+    texts = [(i, "Copyright 2001 Somebody\n" + open(f"{folder}/{n}").read()) for i, n in enumerate(names)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(names))] == list(names.values())
 
 
 # --- 9
@@ -357,6 +405,13 @@ def test_gradients():
 # --- pipeline
 
 
+def contaminated(docs, items):
+    """By a search for every window in every text."""
+    fold = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)})))
+    keys = {f" {' '.join(w[k : k + 10])} " for r in items for w in [fold(r.text).split(" ")] for k in range(max(1, len(w) - 9)) if w[0]}
+    return {r.doc_id for r in docs for t in [f" {fold(r.text)} "] if any(k in t for k in keys)}
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -369,7 +424,7 @@ def test_pipeline(spark, sf_dir):
     single = stages["near copies"](spark, clean, sf_dir).cache()
     assert {r.doc_id for r in single.collect()} == {c for i, _, c in components_by_force([(r.doc_id, r.text) for r in clean.collect()]) if i == c}
     fair = stages["decontamination"](spark, single, sf_dir).cache()
-    assert {r.doc_id for r in single.collect()} - {r.doc_id for r in fair.collect()} == {r.doc_id for r in decontaminate.flag_by_join(single, bench).where("n_hit > 0").collect()}
+    assert {r.doc_id for r in single.collect()} - {r.doc_id for r in fair.collect()} == contaminated(single.collect(), bench.collect())
     mixed = stages["mixing"](spark, fair, sf_dir).cache()
     assert Counter(r.doc_id for r in mixed.collect()) == {r.doc_id: r.copies for r in mixing.queue(fair).collect() if r.copies} and mixed.columns == columns
     assert sorted(map(tuple, stages["token output"](spark, mixed, sf_dir).collect())) == sorted(map(tuple, pipeline.run(spark, sf_dir).collect()))
