@@ -122,14 +122,92 @@ def test_lm(spark, sf_dir, docs, empty):
     assert lm.score(docs).count() == len(rows()) and lm.score(empty).count() == 0
 
 
+def test_lm_beats_words(spark):
+    """Documents that it has not seen are likelier than by the counts of their words."""
+    r = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score").alias("model"), F.sum("base_score").alias("base")).first()
+    assert r.model > 0.9 * r.base
+
+
+def test_lm_is_whole(spark, sf_dir):
+    """Scores depend neither on the cut of the table nor on extra columns; odd rows have scores too."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.lit(1).alias("piece"), F.lit("x").alias("fold"), F.lit(0).alias("key"))
+    d = d.union(spark.createDataFrame([(None, None, 1, "", 1), (-1, "", 1, "", 1), (-2, "é" * 9000 + " end", 1, "", 1), (-2, "é" * 9000 + " end", 1, "", 1), (-3, " \n", 1, "", 1)], d.schema))
+    one, many = ({(r.doc_id, r.n_tokens): (r.score, r.base_score) for r in lm.score(d.repartition(n)).collect()} for n in (1, 24))
+    assert one.keys() == many.keys() and all(np.allclose(one[k], many[k], rtol=1e-9) for k in one) and all(v[0] < 0 for v in one.values())
+    untrained = lm.score(spark.createDataFrame([(i, "some text") for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).collect()
+    assert len(untrained) and all(math.isfinite(r.score) and r.train_tokens == 0 for r in untrained)
+
+
+def small_model():
+    texts = [t.encode() for _, t, *_ in rows() if t and len(t) < 500]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    codes = lm.Codes(lm.count_pairs(data, offsets).reshape(257, 257).astype(float))
+    counts = np.zeros((lm.ORDERS, 2 << 12), np.uint32)
+    lm.count_bits(data, offsets, codes, counts)
+    model = lm.Model(codes, np.stack([lm.log_odds(c.reshape(-1, 2)) for c in counts]))
+    model.fit(data, offsets)
+    return model
+
+
 def test_lm_is_a_distribution():
-    """All texts of up to one byte, and everything that goes on after, share all of the probability."""
-    data = np.frombuffer(b"abcab abc", np.uint8)
-    model = lm.Model(lm.count_pairs(data, np.array([0, 9])).reshape(257, 257).astype(float), np.zeros((lm.ORDERS, 1 << lm.TABLE_BITS), np.int8))
-    ends = model.bits(np.frombuffer(bytes(range(256)), np.uint8), np.arange(257))
-    assert 0 < 2.0 ** -model.bits(np.zeros(0, np.uint8), np.array([0, 0]))[0] < 1 and (ends > 0).all()
-    lens = model.codes.length
-    assert np.allclose((0.5 ** lens.astype(float)).sum(1), 1)
+    """After any beginning, the end and all symbols share all of the probability."""
+    model = small_model()
+    for head in (b"", b"the ", (BASE * 3).encode(), "é a".encode()):
+        nexts = [bytes([c]) for c in range(256) if not 65 <= c <= 90]
+        data = b"".join(head + c for c in nexts) + head
+        cost, size = model.symbol_bits(np.frombuffer(data, np.uint8), np.cumsum([0, *([len(head) + 1] * len(nexts)), len(head)]))
+        first = np.cumsum(size) - size
+        assert math.isclose(sum(2.0 ** -cost[first + len(head)]), 1, rel_tol=1e-5)
+
+
+def test_lm_counts_and_mixing():
+    """Against a plain loop over symbols and bits."""
+    model = small_model()
+    codes, step = model.codes, lm._STEP
+    texts = [b"", b"The quick brown", (BASE + " " + BASE + "\nloser  loser").encode(), "é".encode() * 3000, b"a " * 3000]
+    got = model.bits(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    slots = model.tables.shape[1]
+    for text, bits in zip(texts, got, strict=True):
+        symbols = [*text.lower(), lm._END]
+        padded = [lm._END] * lm._PAD + symbols
+        stream, at, size = lm._streams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        assert stream.tolist() == padded and at.tolist() == list(range(lm._PAD, len(padded))) and size.tolist() == [len(symbols)]
+        contexts = lm._contexts(stream, at, size)
+        # contexts are equal just where what they stand for is equal
+        words = [bytes(symbols[:i]).replace(b"\n", b" ").split(b" ") for i in range(len(symbols))]
+        for c, of in zip(contexts, [lambda i: tuple(padded[i + 2 : i + 6]), lambda i: tuple(padded[i : i + 6]), lambda i: (words[i][-1], padded[i + 5]), lambda i: (words[i][-1], next((w for w in words[i][-2::-1] if w), b""), padded[i + 5])], strict=True):
+            assert len({(int(h), of(i)) for i, h in enumerate(c)}) == len(set(c.tolist())) == len({of(i) for i in range(len(symbols))})
+        total, weights, pending = 0.0, model.weights.astype(float).copy(), np.zeros_like(model.weights, float)
+        for i, sym in enumerate(symbols):
+            if i % lm.BLOCK == 0:
+                weights, pending = model.weights.astype(float).copy(), np.zeros_like(weights)
+            elif i % lm.BLOCK % lm.CHUNK == 0:
+                weights, pending = weights + pending, np.zeros_like(weights)
+            prev = padded[i + lm._PAD - 1]
+            begin = codes.offset[prev, sym]
+            for k in range(codes.length[prev, sym]):
+                node = int(codes.node_hash[begin + k])
+                x = [int(model.tables[o][((int(c[i]) + node) % 2**32) // (2**32 // slots)]) for o, c in enumerate(contexts)]
+                gate = 4 * min(k, lm._DEPTH - 1) + 2 * (x[1] != 0) + (x[3] != 0)
+                z = max(-16, min(16, sum(weights[o, gate] * x[o] for o in range(lm.ORDERS))))
+                bit, p = codes.bits[begin + k], 1 / (1 + math.exp(-z))
+                total -= math.log2(p if bit else 1 - p)
+                for o in range(lm.ORDERS):
+                    pending[o, gate] += lm.RATE * step * step * (bit - p) * x[o]
+        assert math.isclose(total, bits, rel_tol=1e-3, abs_tol=1e-2), (text[:20], total, bits)
+
+
+def test_lm_counts():
+    data = b"abab a"
+    codes = lm.Codes(np.ones((257, 257)))
+    counts = np.zeros((lm.ORDERS, 2 << 20), np.uint32)
+    lm.count_bits(np.frombuffer(data * 300, np.uint8), np.arange(301) * len(data), codes, counts)
+    spelled = sum(int(codes.length[a, b]) for a, b in zip([256, *data], [*data, 256], strict=True))
+    assert (counts.sum(1) == 300 * spelled).all() and counts.max() % 300 == 0
+    for c in (counts[0], counts[0] * 0, counts[0] * 1000):
+        back = np.zeros(len(c), np.int64)
+        lm._add_sparse(lm._sparse(c), back)
+        assert (back == c).all()
 
 
 # --- 3
