@@ -175,7 +175,7 @@ def test_lm_counts_and_mixing():
         contexts = lm._contexts(stream, at, size)
         # contexts are equal just where what they stand for is equal
         words = [bytes(symbols[:i]).replace(b"\n", b" ").split(b" ") for i in range(len(symbols))]
-        for c, of in zip(contexts, [lambda i: tuple(padded[i + 2 : i + 6]), lambda i: tuple(padded[i : i + 6]), lambda i: (words[i][-1], padded[i + 5]), lambda i: (words[i][-1], next((w for w in words[i][-2::-1] if w), b""), padded[i + 5])], strict=True):
+        for c, of in zip(contexts, [lambda i: tuple(padded[i : i + 5]), lambda i: (words[i][-1], padded[i + 4]), lambda i: (words[i][-1], next((w for w in words[i][-2::-1] if w), b""), padded[i + 4])], strict=True):
             assert len({(int(h), of(i)) for i, h in enumerate(c)}) == len(set(c.tolist())) == len({of(i) for i in range(len(symbols))})
         total, weights, pending = 0.0, model.weights.astype(float).copy(), np.zeros_like(model.weights, float)
         for i, sym in enumerate(symbols):
@@ -188,7 +188,7 @@ def test_lm_counts_and_mixing():
             for k in range(codes.length[prev, sym]):
                 node = int(codes.node_hash[begin + k])
                 x = [int(model.tables[o][((int(c[i]) + node) % 2**32) // (2**32 // slots)]) for o, c in enumerate(contexts)]
-                gate = 4 * min(k, lm._DEPTH - 1) + 2 * (x[1] != 0) + (x[3] != 0)
+                gate = 4 * min(k, lm._DEPTH - 1) + 2 * (x[0] != 0) + (x[2] != 0)
                 z = max(-16, min(16, sum(weights[o, gate] * x[o] for o in range(lm.ORDERS))))
                 bit, p = codes.bits[begin + k], 1 / (1 + math.exp(-z))
                 total -= math.log2(p if bit else 1 - p)
