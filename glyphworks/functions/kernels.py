@@ -1,140 +1,20 @@
-"""Arrow functions for what built-in expressions cannot say: clusters, normal forms, scripts, JSON and byte checks."""
+"""Arrow functions of one column for what built-in expressions cannot say: clusters, JSON and byte checks."""
 
 from __future__ import annotations
 
 import json
-import unicodedata
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
-from glyphworks.functions.unicode_data import CONFUSABLES, EXPECTED_COMBINATIONS, cluster_class, is_significant_letter, script_of
+from glyphworks.functions import scan
 
-FORMS = ("NFC", "NFD", "NFKC", "NFKD")
-LIMIT = 500
 JSON_DEPTH = 512
 
 
-# --- coordinates
-
-
-class Places:
-    """Coordinates of the places before each character of a text and after the last."""
-
-    def __init__(self, text: str):
-        byte = unit = 0
-        line = column = 1
-        self.at = [(0, 0, 1, 1)]
-        after_cr = False
-        for c in text:
-            cp = ord(c)
-            byte += 1 if cp < 0x80 else 2 if cp < 0x800 else 3 if cp < 0x10000 else 4
-            unit += 2 if cp > 0xFFFF else 1
-            if c == "\r" or (c == "\n" and not after_cr):
-                line += 1
-            column = 1 if c in "\r\n" else column + 1
-            after_cr = c == "\r"
-            self.at.append((byte, unit, line, column))
-
-    def span(self, start: int, end: int) -> dict[str, int]:
-        a, b = self.at[start], self.at[end]
-        return {"byte_start": a[0], "byte_end": b[0], "utf16_start": a[1], "utf16_end": b[1], "scalar_start": start, "scalar_end": end, "line": a[2], "column": a[3], "line_end": b[2], "column_end": b[3]}
-
-
-SPAN = "byte_start long, byte_end long, utf16_start long, utf16_end long, scalar_start long, scalar_end long, line long, column long, line_end long, column_end long"
-_SPAN_TYPE = [(f.split()[0], pa.int64()) for f in SPAN.split(", ")]
-
-
-# --- grapheme clusters
-
-
-def cluster_count(text: str) -> int:
-    """Extended grapheme clusters, as one left-to-right machine."""
-    if not text:
-        return 0
-    count, prev = 0, ""
-    odd_regional = False
-    picture = 0  # 1: a pictograph and extenders; 2: then a joiner
-    indic, linked = -1, False  # block of the last consonant while only its marks follow; whether a linker was among them
-    for c in text:
-        kind, block, consonant, linker, pictographic = cluster_class(c)
-        if not prev:
-            join = False
-        elif prev == "CR" and kind == "LF":
-            join = True
-        elif prev in ("CR", "LF", "Control") or kind in ("CR", "LF", "Control"):
-            join = False
-        elif (prev == "L" and kind in ("L", "V", "LV", "LVT")) or (prev in ("LV", "V") and kind in ("V", "T")) or (prev in ("LVT", "T") and kind == "T"):
-            join = True
-        elif kind in ("Extend", "ZWJ", "SpacingMark") or prev == "Prepend":
-            join = True
-        elif consonant and indic == block and linked:
-            join = True
-        elif pictographic and picture == 2:
-            join = True
-        else:
-            join = kind == "RI" and prev == "RI" and odd_regional
-        count += not join
-        odd_regional = kind == "RI" and not (prev == "RI" and odd_regional)
-        if pictographic:
-            picture = 1
-        elif kind == "ZWJ" and picture == 1:
-            picture = 2
-        elif not (kind == "Extend" and picture == 1):
-            picture = 0
-        if consonant and kind not in ("Extend", "ZWJ"):
-            indic, linked = block, False
-        elif kind in ("Extend", "ZWJ") and indic >= 0 and block in (-1, indic):
-            linked = linked or linker
-        else:
-            indic = -1
-        prev = kind
-    return count
-
-
-@F.pandas_udf(LongType())
-def _clusters(texts):
-    return texts.map(lambda t: None if t is None else cluster_count(t), na_action=None)
-
-
-def grapheme_clusters(text: Column) -> Column:
-    """Only texts with a character from U+0300 on reach Python; elsewhere each character but the second of a CRLF is a cluster."""
-    plain = ~text.rlike(r"[^\x{0}-\x{2FF}]")
-    return F.when(plain, F.char_length(text).cast("long") - F.regexp_count(text, F.lit("\r\n"))).otherwise(_clusters(F.when(plain, F.lit(None)).otherwise(text)))
-
-
-# --- normal forms
-
-
-def changed_range(a: str, b: str) -> tuple[int, int, int]:
-    """Start, and the two ends, of what is left after a common prefix and then a common suffix."""
-    n = min(len(a), len(b))
-    start = next((i for i in range(n) if a[i] != b[i]), n)
-    tail = 0
-    while tail < n - start and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    return start, len(a) - tail, len(b) - tail
-
-
-def normal_forms(text: str) -> list[dict]:
-    out, places = [], None
-    for form in FORMS:
-        new = text if text.isascii() else unicodedata.normalize(form, text)
-        row = {"form": form, "is_normalized": new == text, "normalized": new, "observed": "", "replacement": ""} | dict.fromkeys((n for n, _ in _SPAN_TYPE))
-        if new != text:
-            places = places or Places(text)
-            start, end, new_end = changed_range(text, new)
-            row |= {"observed": text[start:end], "replacement": new[start:new_end]} | places.span(start, end)
-        out.append(row)
-    return out
-
-
-FORM_SCHEMA = f"array<struct<form:string,is_normalized:boolean,normalized:string,observed:string,replacement:string,{SPAN.replace(' long', ':bigint').replace(', ', ',')}>>"
-_FORM_TYPE = pa.list_(pa.struct([("form", pa.string()), ("is_normalized", pa.bool_()), ("normalized", pa.string()), ("observed", pa.string()), ("replacement", pa.string()), *_SPAN_TYPE]))
-
-
 def _kernel(fn, schema: str, kind: pa.DataType, empty):
     """An Arrow function of one text column; nulls give the empty value.  It is made at its first use, when there is a session."""
 
@@ -152,49 +32,27 @@ def _kernel(fn, schema: str, kind: pa.DataType, empty):
     return call
 
 
-forms_of = _kernel(normal_forms, FORM_SCHEMA, _FORM_TYPE, None)
-
-
-# --- scripts
-
-
-def script_review(text: str) -> dict:
-    """Census of significant letters by script, and the letters that need a second look."""
-    letters = [(i, c, script_of(c)) for i, c in enumerate(text) if is_significant_letter(c)]
-    census: dict[str, list[int]] = {}
-    for i, _, s in letters:
-        census.setdefault(s, [0, i])[0] += 1
-    dominant = min(census, key=lambda s: (-census[s][0], census[s][1]), default=None)
-    expected = len(census) > 1 and any(census.keys() <= c for c in EXPECTED_COMBINATIONS)
-    mixed = len(census) > 1 and not expected
-    has_latin = "Latin" in census
-    findings, total, places = [], 0, None
-    for i, c, s in letters:
-        lookalike = CONFUSABLES.get(ord(c)) if s != "Latin" else None
-        rule = "confusable.curated_ascii_lookalike" if lookalike and has_latin else "mixed_script.character" if mixed and s != dominant else None
-        if rule is None:
-            continue
-        total += 1
-        if total <= LIMIT:
-            places = places or Places(text)
-            known = CONFUSABLES.get(ord(c))
-            findings.append({"rule": rule, "category": "confusable" if known else "mixed_script", "observed": c, "script": s, "looks_like": known} | places.span(i, i + 1))
-    summary = [{"script": s, "count": n, "first_scalar": i} for s, (n, i) in census.items()]
-    return {"dominant_script": dominant, "mixed": len(census) > 1, "expected_combination": expected, "scripts": summary, "total": total, "findings": findings}
-
-
-_SCRIPT_SCHEMA = (
-    "struct<dominant_script:string,mixed:boolean,expected_combination:boolean,scripts:array<struct<script:string,count:bigint,first_scalar:bigint>>,total:bigint,"
-    f"findings:array<struct<rule:string,category:string,observed:string,script:string,looks_like:string,{SPAN.replace(' long', ':bigint').replace(', ', ',')}>>>"
-)
-_SCRIPT_TYPE = pa.struct(
-    [
-        ("dominant_script", pa.string()), ("mixed", pa.bool_()), ("expected_combination", pa.bool_()),
-        ("scripts", pa.list_(pa.struct([("script", pa.string()), ("count", pa.int64()), ("first_scalar", pa.int64())]))), ("total", pa.int64()),
-        ("findings", pa.list_(pa.struct([("rule", pa.string()), ("category", pa.string()), ("observed", pa.string()), ("script", pa.string()), ("looks_like", pa.string()), *_SPAN_TYPE]))),
-    ]
-)
-scripts_of = _kernel(script_review, _SCRIPT_SCHEMA, _SCRIPT_TYPE, None)
+# --- grapheme clusters
+
+
+def _clusters(column: Column) -> Column:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        classes = scan.Lazy(scan._packed_class)
+        for b in batches:
+            known = b.is_valid()
+            rows = pa.RecordBatch.from_arrays([known, b.fill_null("")], names=["known", "text"])
+            counts = [pa.array(scan.clusters(t, classes), pa.int64()) for _, t in scan.slices(rows)]
+            yield pc.if_else(known, pa.concat_arrays([pa.array([], pa.int64()), *counts]), None)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "bigint")(column)
+
+
+def grapheme_clusters(text: Column) -> Column:
+    """Only texts with a character from U+0300 on reach Python; elsewhere each character but the second of a CRLF is a cluster."""
+    plain = ~text.rlike(r"[^\x{0}-\x{2FF}]")
+    crlf = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\r\n"), F.lit("\r")))
+    return F.when(plain, (F.char_length(text) - crlf).cast("long")).otherwise(_clusters(F.when(plain, F.lit(None)).otherwise(text)))
 
 
 # --- JSON

@@ -1,10 +1,12 @@
-"""Hidden, bidirectional and control characters: one regular expression finds them, a small table explains them."""
+"""Hidden, bidirectional and control characters: a table over code points finds and explains them."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from glyphworks.functions import scan
 from glyphworks.functions import text as T
 
 RULESET = "hidden-characters-1"
@@ -58,37 +60,75 @@ EXPLANATIONS = {
 
 
 def rule_rows() -> list[tuple]:
-    """(code_point, rule, category, severity, identifier_severity, title, explanation)."""
-    rows = [(cp, rule, cat, sev, ident or sev, title, EXPLANATIONS[cat]) for a, b, rule, cat, sev, ident, title in RANGES for cp in range(a, b + 1)]
+    """(code_point, rule, category, severity, identifier_severity, title, explanation, label)."""
+    rows = [(cp, rule, cat, sev, ident or sev, title, EXPLANATIONS[cat], title.lower()) for a, b, rule, cat, sev, ident, title in RANGES for cp in range(a, b + 1)]
     for a, b in CONTROLS:
         for cp in range(a, b + 1):
             severity = "error" if cp in TERMINAL_CONTROLS else "warning"
-            rows.append((cp, f"control.{cp:04X}", "control", severity, severity, "Control character", EXPLANATIONS["control"]))
+            rows.append((cp, f"control.{cp:04X}", "control", severity, severity, "Null character" if cp == 0 else "Control character", EXPLANATIONS["control"], "control character"))
     return rows
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(rule_rows(), "code_point int, rule string, category string, severity string, identifier_severity string, title string, explanation string")
+    return spark.createDataFrame(rule_rows(), "code_point int, rule string, category string, severity string, identifier_severity string, title string, explanation string, label string")
 
 
-PATTERN = "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in [*((r[0], r[1]) for r in RANGES), *CONTROLS]) + "]"
+def hidden_label(code_point: int) -> str | None:
+    """What a hidden character is called in running text; None for others."""
+    return next((r[7] for r in rule_rows() if r[0] == code_point), None)
+
+
+def escaped(cp: int) -> str:
+    """Backslash spelling with braces above U+FFFF, and letters for tab, line feed and carriage return."""
+    return {9: r"\t", 10: r"\n", 13: r"\r"}.get(cp) or (f"\\u{cp:04X}" if cp <= 0xFFFF else f"\\u{{{cp:X}}}")
+
+
+_COLUMNS = "finding string, n int, rule string, category string, severity string, title string, explanation string, label string, " + ", ".join(f"{c} long" for c in scan.LOCATION[:8]) + ", escaped string, code_point string, utf8_hex string"
+
+
+def _table(rows: list[tuple]) -> np.ndarray:
+    """By code point the number of its row, 0 for none."""
+    table = np.zeros(0x110000, np.int16)
+    table[[r[0] for r in rows]] = np.arange(1, len(rows) + 1)
+    return table
 
 
 def findings(df: DataFrame, key: str = "id", text: str = "text", profile: str = "general") -> DataFrame:
-    """One row for each hidden character, the first 500 of a text: key, n from 1, the rule, the place, what was observed."""
+    """One row for each hidden character, the first 500 of a text: key, finding (its id), n from 1, the rule, the place, what was observed."""
     if profile not in ("general", "identifier"):
         raise ValueError("profile: general or identifier")
-    table = rules(df.sparkSession).withColumn("severity", F.col("identifier_severity" if profile == "identifier" else "severity")).drop("identifier_severity")
-    found = df.where(F.col(text).rlike(PATTERN)).select(F.col(key), F.posexplode(T.locate(F.col(text), PATTERN)).alias("n", "f"))
-    rows = found.select(key, (F.col("n") + 1).alias("n"), "f.*").withColumn("code_point", F.ascii("observed"))
-    rows = rows.join(F.broadcast(table), "code_point")
-    return rows.select(
-        key, "n", "rule", "category", "severity", "title", "explanation", *T.LOCATION[:8],
-        T.escape_code_point(F.col("observed")).alias("escaped"), T.format_code_point(F.col("observed")).alias("code_point"), T.utf8_hex(F.col("observed")).alias("utf8_hex"),
-    )
+    rows = rule_rows()
+    severity = 4 if profile == "identifier" else 3
+
+    def make():
+        table = _table(rows)
+        facts = {"rule": [r[1] for r in rows], "category": [r[2] for r in rows], "severity": [r[severity] for r in rows], "title": [r[5] for r in rows], "explanation": [r[6] for r in rows], "label": [r[7] for r in rows]}
+        spelled = {"escaped": [escaped(r[0]) for r in rows], "code_point": [f"U+{r[0]:04X}" for r in rows], "utf8_hex": [chr(r[0]).encode().hex(" ").upper() for r in rows]}
+
+        def kernel(t: scan.Texts):
+            at = np.flatnonzero(table[t.cp])
+            n = scan.ranks(t.owner[at])
+            at, n = at[n <= scan.LIMIT], n[n <= scan.LIMIT]
+            owner, which = t.owner[at], pa.array(table[t.cp[at]].astype(np.int64) - 1)
+            of = lambda d: {k: pa.array(v).take(which) for k, v in d.items()}
+            place = t.locations(owner, at, at + 1)
+            return owner, {"finding": pa.array([f"f_{k}" for k in n.tolist()], pa.string()), "n": n.astype(np.int32), **of(facts), **{c: place[c] for c in scan.LOCATION[:8]}, **of(spelled)}
+
+        return kernel
+
+    return scan.scanned(df, key, text, make, _COLUMNS)
 
 
 def summary(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """One row per text: status, total, returned, truncated and the metrics."""
-    total = T.count_of(F.col(text), PATTERN)
-    return df.select(key, F.when(total > 0, "issues_found").otherwise("clean").alias("status"), T.bounded_summary(total).alias("s"), T.metrics(F.col(text)).alias("m")).select(key, "status", "s.*", "m.*")
+    rows = rule_rows()
+
+    def make():
+        table = _table(rows)
+
+        def kernel(t: scan.Texts):
+            return np.arange(t.n), {"total": np.bincount(t.owner[table[t.cp] > 0], minlength=t.n), **t.metrics()}
+
+        return kernel
+
+    return T.with_status(scan.scanned(df, key, text, make, T.TOTAL_COLUMNS), key)

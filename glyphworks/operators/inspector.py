@@ -4,46 +4,50 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from glyphworks.functions import text as T
+from glyphworks.functions import scan
 from glyphworks.functions.unicode_data import display_name
+from glyphworks.operators.hidden import escaped
 
 LIMIT = 500
+_COLUMNS = (
+    "index long, code_point string, decimal long, name string, category string, utf8_bytes array<int>, utf8_hex string, byte_start long, byte_end long, code_point_start long, code_point_end long, "
+    "javascript_unit_start long, javascript_unit_end long, line long, column long, visible string"
+)
 
 
-@F.pandas_udf(StructType([StructField("name", StringType()), StructField("category", StringType())]))
-def _facts(chars: pd.Series) -> pd.DataFrame:
-    known = {c: (display_name(c), unicodedata.category(c)) for c in chars.unique()}
-    return pd.DataFrame([known[c] for c in chars], columns=["name", "category"])
+def visible_form(char: str) -> str:
+    """The character itself where it can be seen; an escape for controls, spaces and selectors; marks on a dotted circle."""
+    category, cp = unicodedata.category(char), ord(char)
+    if category[0] in "CZ" or 0xFE00 <= cp <= 0xFE0F or 0xE0100 <= cp <= 0xE01EF:
+        return escaped(cp)
+    return "◌" + char if category[0] == "M" else char
 
 
 def inspect(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """Code point, name, category, bytes, place and a visible form of each character; longer texts are left to too_long()."""
-    c = F.col(text)
-    short = df.where(c.isNotNull() & (F.char_length(c) <= LIMIT) & (F.char_length(c) > 0)).select(key, c.alias("__t"))
-    chars = short.select(key, "__t", F.posexplode(F.split("__t", "")).alias("i", "char"))
-    before = F.substr(F.col("__t"), F.lit(1), F.col("i"))
-    head = chars.withColumn("head", F.when(F.col("i") == 0, "").otherwise(before)).drop("__t")
-    last = F.substring_index(F.translate("head", "\r", "\n"), "\n", -1)
-    # the second character of a CRLF does not start another line
-    lines = T.line_count(F.col("head"))
-    f = head.select(
-        key, F.col("i").cast("long").alias("index"), "char",
-        T.utf8_bytes(F.col("head")).alias("byte_start"), T.utf16_units(F.col("head")).alias("javascript_unit_start"), lines.alias("line"), (T.code_points(last) + 1).alias("column"),
-    ).withColumn("u", _facts("char"))
-    category, cp = F.col("u.category"), F.ascii("char")
-    selector = cp.between(0xFE00, 0xFE0F) | cp.between(0xE0100, 0xE01EF)
-    visible = F.when(F.substring(category, 1, 1).isin("C", "Z") | selector, T.escape_code_point(F.col("char"))).when(F.substring(category, 1, 1) == "M", F.concat(F.lit("◌"), F.col("char"))).otherwise(F.col("char"))
-    return f.select(
-        key, "index", T.format_code_point(F.col("char")).alias("code_point"), cp.cast("long").alias("decimal"), F.col("u.name").alias("name"), category.alias("category"),
-        T.utf8_hex(F.col("char")).alias("utf8_hex"), "byte_start", (F.col("byte_start") + T.utf8_bytes(F.col("char"))).alias("byte_end"),
-        F.col("index").alias("code_point_start"), (F.col("index") + 1).alias("code_point_end"),
-        "javascript_unit_start", (F.col("javascript_unit_start") + T.utf16_units(F.col("char"))).alias("javascript_unit_end"), "line", "column", visible.alias("visible"),
-    )
+
+    def make():
+        def kernel(t: scan.Texts):
+            at = np.arange(len(t.cp))
+            place = t.locations(t.owner, at, at + 1)
+            distinct, index = np.unique(t.cp, return_inverse=True)
+            chars, index = [chr(c) for c in distinct.tolist()], pa.array(index.astype(np.int64))
+            of = lambda fact, kind: pa.array([fact(c) for c in chars], kind).take(index)
+            return t.owner, {
+                "index": place["scalar_start"], "code_point": of(lambda c: f"U+{ord(c):04X}", pa.string()), "decimal": t.cp.astype(np.int64), "name": of(display_name, pa.string()),
+                "category": of(unicodedata.category, pa.string()), "utf8_bytes": of(lambda c: list(c.encode()), pa.list_(pa.int32())), "utf8_hex": of(lambda c: c.encode().hex(" ").upper(), pa.string()),
+                "byte_start": place["byte_start"], "byte_end": place["byte_end"], "code_point_start": place["scalar_start"], "code_point_end": place["scalar_end"],
+                "javascript_unit_start": place["utf16_start"], "javascript_unit_end": place["utf16_end"], "line": place["line"], "column": place["column"], "visible": of(visible_form, pa.string()),
+            }
+
+        return kernel
+
+    return scan.scanned(df.where(F.char_length(text) <= LIMIT), key, text, make, _COLUMNS)
 
 
 def too_long(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

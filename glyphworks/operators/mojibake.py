@@ -1,10 +1,13 @@
-"""UTF-8 that was read in a legacy encoding, and replacement characters, by one regular expression."""
+"""UTF-8 that was read in a legacy encoding, and replacement characters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+from glyphworks.functions import scan
 from glyphworks.functions import text as T
 
 # cp1252 characters above U+00FF and their bytes.
@@ -16,48 +19,61 @@ CP1252 = {
 # end of fixed values
 
 
-def _bytes_class(low: int, high: int) -> str:
-    """Characters whose legacy byte is in the range: themselves, or their cp1252 stand-ins."""
-    return "[" + rf"\x{{{low:X}}}-\x{{{high:X}}}" + "".join(rf"\x{{{c:X}}}" for c, b in CP1252.items() if low <= b <= high) + "]"
+REPLACEMENT = 0xFFFD
+_COLUMNS = (
+    "finding string, n int, rule string, category string, severity string, title string, explanation string, " + ", ".join(f"{c} long" for c in scan.LOCATION)
+    + f", characters array<{scan.DETAIL_AT_SCHEMA}>, interpreted_bytes_hex string, possible_intended_character string, intended_detail {scan.DETAIL_SCHEMA}"
+)
+#: rule, title and explanation of the two kinds of findings.
+KINDS = [
+    ("mojibake.replacement_character", "Replacement character", "A decoder puts U+FFFD where it could not read the bytes, so these may be lost."),
+    ("mojibake.utf8_bytes_as_legacy_text", "UTF-8 bytes shown as legacy text", "Read as Latin-1 or Windows-1252 bytes, these characters are one character in UTF-8."),
+]
 
 
-_ANY = _bytes_class(0x80, 0xBF)
-#: Each lead byte has one length, so the leftmost match is what a left-to-right scan takes.
-PATTERN = "|".join(
-    [
-        r"\x{FFFD}",
-        r"[\x{C2}-\x{DF}]" + _ANY,
-        r"\x{E0}" + _bytes_class(0xA0, 0xBF) + _ANY,
-        r"[\x{E1}-\x{EC}\x{EE}\x{EF}]" + _ANY + _ANY,
-        r"\x{ED}" + _bytes_class(0x80, 0x9F) + _ANY,
-        r"\x{F0}" + _bytes_class(0x90, 0xBF) + _ANY + _ANY,
-        r"[\x{F1}-\x{F3}]" + _ANY + _ANY + _ANY,
-        r"\x{F4}" + _bytes_class(0x80, 0x8F) + _ANY + _ANY,
-    ]
-)
-REPLACEMENT = "�"
+def _hex(packed: int, size: int) -> str:
+    return packed.to_bytes(size, "big").hex(" ").upper()
 
 
-def legacy_bytes(text: Column) -> Column:
-    """The bytes behind legacy characters."""
-    return F.encode(F.translate(text, "".join(map(chr, CP1252)), "".join(map(chr, CP1252.values()))), "ISO-8859-1")
+def findings(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """One row for each suspicious sequence, the first 500 of a text, with its characters and the one that was probably meant."""
 
+    def make():
+        table = scan.legacy_table(CP1252)
 
-def findings(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """One row for each suspicious sequence, the first 500 of a text, with the character that was probably meant."""
-    found = df.where(F.col(text).rlike(PATTERN)).select(F.col(key), F.posexplode(T.locate(F.col(text), PATTERN)).alias("n", "f"))
-    lost = F.col("observed") == REPLACEMENT
-    raw = legacy_bytes(F.when(~lost, F.col("observed")))
-    return found.select(key, (F.col("n") + 1).alias("n"), "f.*").select(
-        key, "n",
-        F.when(lost, "mojibake.replacement_character").otherwise("mojibake.utf8_bytes_as_legacy_text").alias("rule"),
-        F.when(lost, "Replacement character").otherwise("UTF-8 bytes shown as legacy text").alias("title"),
-        *T.LOCATION, "observed",
-        F.trim(F.regexp_replace(F.hex(raw), "(..)", "$1 ")).alias("interpreted_bytes_hex"),
-        F.decode(raw, "UTF-8").alias("possible_intended_character"),
-    )
+        def kernel(t: scan.Texts):
+            at, size, packed, meant = scan.legacy_sequences(t, table)
+            n = scan.ranks(t.owner[at])
+            keep = n <= scan.LIMIT
+            at, size, packed, meant, n = at[keep], size[keep], packed[keep], meant[keep], n[keep]
+            owner, legacy = t.owner[at], t.cp[at] != REPLACEMENT
+            kind = pa.array(legacy.astype(np.int64))
+            said = lambda k: pa.array([x[k] for x in KINDS]).take(kind)
+            pairs, index = np.unique(np.where(legacy, packed * 8 + size, 0), return_inverse=True)
+            digits = pa.array([_hex(p >> 3, p & 7) if p else None for p in pairs.tolist()], pa.string()).take(pa.array(index))
+            chars, index = np.unique(np.where(legacy, meant, 0), return_inverse=True)
+            shown = pa.array([chr(c) for c in chars.tolist()], pa.string()).take(pa.array(index))
+            every = ["mojibake"] * len(at), ["warning"] * len(at)
+            return owner, {
+                "finding": pa.array([f"mojibake_{k}" for k in n.tolist()], pa.string()), "n": n.astype(np.int32), "rule": said(0), "category": pa.array(every[0], pa.string()), "severity": pa.array(every[1], pa.string()),
+                "title": said(1), "explanation": said(2), **t.locations(owner, at, at + size), "characters": t.listed(owner, at, at + size), "interpreted_bytes_hex": digits,
+                "possible_intended_character": pc.if_else(pa.array(legacy), shown, None), "intended_detail": scan.bare_details(meant, legacy),
+            }
+
+        return kernel
+
+    return scan.scanned(df, key, text, make, _COLUMNS)
 
 
 def summary(df: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    total = T.count_of(F.col(text), PATTERN)
-    return df.select(key, F.when(total > 0, "issues_found").otherwise("clean").alias("status"), T.bounded_summary(total).alias("s"), T.metrics(F.col(text)).alias("m")).select(key, "status", "s.*", "m.*")
+    """One row per text: status, total, returned, truncated and the metrics."""
+
+    def make():
+        table = scan.legacy_table(CP1252)
+
+        def kernel(t: scan.Texts):
+            return np.arange(t.n), {"total": np.bincount(t.owner[scan.legacy_sequences(t, table)[0]], minlength=t.n), **t.metrics()}
+
+        return kernel
+
+    return T.with_status(scan.scanned(df, key, text, make, T.TOTAL_COLUMNS), key)

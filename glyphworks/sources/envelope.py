@@ -19,6 +19,13 @@ STATUSES = {
     "invalid_request": 400, "unsupported_profile": 400, "invalid_base64": 400, "invalid_envelope_utf8": 400, "input_too_large": 413, "unsupported_media_type": 415,
     "unsupported_content_encoding": 415, "rate_limited": 429, "internal_error": 500, "service_unavailable": 503,
 }
+#: What the error codes mean.
+MESSAGES = {
+    "invalid_request": "The body is not of the form that is asked for.", "unsupported_profile": "There is no such profile.", "invalid_base64": "The bytes are not in canonical Base64.",
+    "invalid_envelope_utf8": "The body is not UTF-8.", "input_too_large": "The body or its input is over the limit.", "unsupported_media_type": "The body has to be application/json.",
+    "unsupported_content_encoding": "The body must not be compressed or otherwise encoded.", "rate_limited": "Too many requests of this caller.", "internal_error": "The request failed here.",
+    "service_unavailable": "The quota cannot be checked now.", "invalid_utf8": "The bytes are not UTF-8.",
+}
 _BASE64 = re.compile(r"[A-Za-z0-9+/]*={0,2}")
 
 
@@ -112,10 +119,11 @@ def envelopes(df: DataFrame, key: str = "id", body: str = "body", profile_allowe
 
 
 def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows to analyze, and the quarantine: those with an error or invalid bytes, with their status."""
-    table = F.create_map(*[F.lit(x) for pair in STATUSES.items() for x in pair])
-    rejected = checked.where(F.col("error").isNotNull() | ~F.col("valid_utf8"))
-    return checked.where(F.col("error").isNull() & F.col("valid_utf8")), rejected.withColumn("code", F.coalesce("error", F.lit("invalid_utf8"))).withColumn("status", F.coalesce(F.element_at(table, F.col("code")), F.lit(200)))
+    """Rows to analyze, and the quarantine: those with an error or invalid bytes, with their code, status and message."""
+    of = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    rejected = checked.where(F.col("error").isNotNull() | ~F.col("valid_utf8")).withColumn("code", F.coalesce("error", F.lit("invalid_utf8")))
+    rejected = rejected.withColumn("status", F.coalesce(F.element_at(of(STATUSES), F.col("code")), F.lit(200))).withColumn("message", F.element_at(of(MESSAGES), F.col("code")))
+    return checked.where(F.col("error").isNull() & F.col("valid_utf8")), rejected
 
 
 def check_headers(content_type: Column, content_encoding: Column, content_length: Column) -> Column:
