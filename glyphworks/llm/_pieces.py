@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 8 << 20
+#: Bytes of input for each piece and bucket, so that neither grows with the input.
+PIECE_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 BLOB_SCHEMA = "piece int, bucket int, kind int, blob binary"
 _BLOB_ARROW = pa.schema([("piece", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -28,19 +29,27 @@ def shuffle_width(df: DataFrame) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Size of the scanned input as the optimizer sees it; 0 if it has no idea."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the scanned input as the optimizer sees it, but no more than all that is read; 0 if it has no idea."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    size = min(int(str(plan.stats().sizeInBytes())), read)
     return size if size < 1 << 60 else 0
 
 
 def piece_count(df: DataFrame) -> int:
-    """Two pieces for each shuffle partition, or more if pieces would get large."""
-    return max(2 * shuffle_width(df), math.ceil(planned_bytes(df) / PIECE_BYTES))
+    """A piece for each shuffle partition, or more if pieces would get large."""
+    return max(shuffle_width(df), math.ceil(planned_bytes(df) / PIECE_BYTES))
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Fewer than shuffle partitions: every piece sends a blob to every bucket."""
-    return max(1, 2 * shuffle_width(df) // 3)
+    """By bytes, and some for a small input: every piece sends a blob to every bucket."""
+    return max(min(8, shuffle_width(df)), math.ceil(planned_bytes(df) / BUCKET_BYTES))
+
+
+def grouped(df: DataFrame, by: str, many: int):
+    """df by piece or bucket, each in the partition of its own number: hashing the numbers would put several into one."""
+    return df.repartitionById(many, by).groupBy(by)
 
 
 def in_pieces(docs: DataFrame, pieces: int, *more) -> DataFrame:

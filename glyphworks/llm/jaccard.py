@@ -3,24 +3,30 @@
 Only links matter, and of those as many as connect the documents, so nothing
 within a group of copies is paired with everything else in it:
 
-1. each document gets its shingle set, a digest of the set and a few min-hashes.
-   Documents with equal sets are linked.  Those that share a min-hash are compared
-   with the smallest document of that min-hash.  This connects nearly all near copies;
-   what follows finds every link that it missed.
-2. Shingles are classed by the number of groups (components so far) that hold them:
-   private (one), rare (up to ``frequent``), frequent.  Ordered private first,
-   frequent last, two sets that link share a shingle in the prefix of length
-   |s| - ceil(t |s|) + 1, and two in the prefix that is one longer.  A private
-   shingle cannot link groups.  So documents index the rare shingles of the prefix one
-   by one, and the frequent ones of the longer prefix in combinations of two; any
-   link between groups shows up under one of these.  Where a key stands in
-   the prefix bounds the overlap of a link that first shows up there, and a small
-   parity map of each set bounds the difference of two sets from below; both only
-   drop pairs that cannot link.
-3. Pairs from different groups that meet in the index are compared exactly.
+1. Each document gets its shingle set and a digest of it.  Documents with equal sets are
+   linked, and one of them goes on.
+2. Shingles are classed by the number of documents that hold them: private (one),
+   rare (up to ``frequent``), frequent.  Ordered private first, frequent last, two sets
+   that link share a shingle in the prefix of length |s| - ceil(t |s|) + 1.  If the
+   first that they share is rare, it is an index key of both.  If it is frequent, all that
+   they share is, and the sets agree in most combinations of ``k`` frequent shingles
+   that follow each other in the order: a set has a combination for each of its frequent
+   shingles, and each difference of the two sets breaks k of them at most.  So a set
+   indexes as many of its combinations, by their hashes, as differences can
+   break, and one more: its prefix grows with its size, never with the square of it.
+   k is 2, and 3 where the corpus is so large that pairs of frequent shingles are frequent.
+3. Each document is compared with the smallest one under each of its first few index
+   keys; that connects most of what links.
+4. Wherever documents of different components still meet under a key, they are paired: those
+   outside the largest component of the key with all others.  Where a rare key
+   stands in the prefix bounds the overlap of a link that first shows up there, and a
+   small parity map of each set bounds the difference of two sets from below; both
+   only drop pairs that cannot link.  What is left is compared exactly.
 
 Nulls: a null text is empty and linked with nothing; rows without a doc_id have no
-component.  Rows with the same doc_id are one node.  Repeated rows stay.
+component.  Rows with the same doc_id are one node.  Repeated rows stay.  Very long texts are
+one set each, a shingle takes eight bytes.  An empty table gives no rows.  Other columns,
+whatever their names, are not read; one_of_each returns them.
 """
 
 from __future__ import annotations
@@ -30,21 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, mix, piece_count, rows_of, texts_of
-from glyphworks.llm._shared import written
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, grouped, mix, piece_count, rows_of, texts_of
+from glyphworks.llm._shared import fresh, written
 from glyphworks.llm._shingles import WORDS, shingle_sets
 from glyphworks.llm.components import components
 
-PERCENT, HASHES, FREQUENT = 80, 6, 1024
-#: Words of the map of each indexed set that tells most unlike sets apart.
+PERCENT, FREQUENT, LEAD = 80, 64, 6
+#: Words of the map of each set that tells most unlike sets apart.
 MAP_WORDS = 8
 #: Places of the one-hash filter that spares texts without a pair the shuffle: a bounded broadcast.
 FILTER = 1 << 20
 _SIGNED = np.int64
-_SEEDS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+_MAP = [f"m{k}" for k in range(MAP_WORDS)]
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -59,25 +66,31 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
-def signatures(docs: DataFrame, words: int = WORDS, hashes: int = HASHES) -> DataFrame:
-    """doc_id, n_shingles, digest of the set (null if empty), its min-hashes."""
+def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, digest of the set (null if empty) and its parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, digest, least = [], [], []
+            n, digest, maps = [], [], []
             for s in shingle_sets(*texts_of(batch.column("text")), words):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                least.append([int(mix(s ^ k).min().astype(_SIGNED)) for k in _SEEDS[:hashes]] if len(s) else [])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "least"])
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                maps.append(parity_map(s))
+            maps = np.array(maps, _SIGNED).reshape(-1, MAP_WORDS)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *(pa.array(m) for m in maps.T)], names=["doc_id", "n_shingles", "digest", *_MAP])
 
-    return _plain(docs).mapInArrow(run, "doc_id long, n_shingles long, digest string, least array<long>")
+    return _plain(docs).mapInArrow(run, "doc_id long, n_shingles long, digest binary, " + ", ".join(f"{m} long" for m in _MAP))
 
 
 def _stars(rows: DataFrame, key: str) -> DataFrame:
-    """(a, b): each row's doc_id with the smallest of its key."""
-    least = rows.groupBy(key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("z > a").select(key, "a")
-    return rows.join(least, key).where("doc_id > a").select("a", F.col("doc_id").alias("b")).distinct()
+    """(a, b): each row's doc_id with the smallest of its key.
+
+    Minima are aggregated before rows meet.  They meet by a hash of the key, for which both sides
+    are exchanged anew, so that Spark can split a key that very many rows have.
+    """
+    least = rows.groupBy(key).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("z > a").select(F.xxhash64(key).alias("h"), F.col(key).alias("own"), "a")
+    met = rows.withColumn("h", F.xxhash64(key)).join(least, "h").where((F.col(key) == F.col("own")) & (F.col("doc_id") > F.col("a")))
+    return met.select("a", F.col("doc_id").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -100,12 +113,10 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int = PERCENT, words: i
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets(table: pa.Table, labels: pa.Table, words: int):
-    """doc_ids, sets and group labels of a piece; what stands alone is labelled -1."""
-    ids = table.column("doc_id").to_numpy()
-    known = dict(zip(labels.column("node").to_pylist(), labels.column("component").to_pylist(), strict=True)) if labels.num_rows else {}
-    sets = list(shingle_sets(*texts_of(table.column("text")), words))
-    return ids, sets, [known.get(i) for i in ids.tolist()]
+def _sets(table: pa.Table, first: pa.Table, words: int):
+    """doc_ids and sets of those documents of a piece that stand for theirs; first has their ids."""
+    own = table.filter(pc.is_in(table.column("doc_id"), value_set=first.column("node").combine_chunks()))
+    return own.column("doc_id").to_numpy(), list(shingle_sets(*texts_of(own.column("text")), words))
 
 
 def _values(sets: list[np.ndarray], buckets: int) -> np.ndarray:
@@ -121,88 +132,75 @@ def _distinct(sets: list[np.ndarray], buckets: int):
     return value, order, start, value[order[start]]
 
 
-def _ask(table: pa.Table, labels: pa.Table, buckets: int, words: int) -> pa.Table:
-    """Each distinct shingle once, with its group: 0 a document that stands alone, 1 a known group, 2 several."""
+def _ask(table: pa.Table, first: pa.Table, buckets: int, words: int) -> pa.Table:
+    """Each distinct shingle of a piece once, with the number of documents that hold it (255 for more)."""
     if not table.num_rows:
         return blobs([])
-    ids, sets, groups = _sets(table, labels, words)
-    value, order, start, distinct = _distinct(sets, buckets)
-    names = sorted({g for g in groups if g is not None})
-    code_of = {g: i + 1 for i, g in enumerate(names)}
-    # rows of one doc_id are one node, so they get the same negative code
-    own: dict[int, int] = {}
-    code = np.array([code_of[g] if g is not None else -own.setdefault(i, len(own) + 1) for g, i in zip(groups, ids.tolist(), strict=True)], np.int64)
-    code = np.repeat(code, [len(s) for s in sets])[order]
-    low, high = (np.minimum.reduceat(code, start), np.maximum.reduceat(code, start)) if len(start) else (code, code)
-    kind = np.where(low != high, 2, np.where(low > 0, 1, 0)).astype(np.uint8)
+    _, sets = _sets(table, first, words)
+    value, _, start, distinct = _distinct(sets, buckets)
+    many = np.minimum(np.diff(np.append(start, len(value))), 255).astype(np.uint8)
     bucket = (distinct >> np.uint64(32)).astype(np.int64)
     piece, out = table.column("piece")[0].as_py(), []
-    table_of = np.array(names, np.int64)
     edges = np.append(cuts(bucket), len(bucket))
     for s, e in zip(edges[:-1], edges[1:], strict=True):
-        k = kind[s:e]
-        used, index = np.unique(low[s:e][k == 1], return_inverse=True)
-        blob = np.array([e - s, len(used)], np.uint32).tobytes() + table_of[used - 1].tobytes() + (distinct[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + k.tobytes() + index.astype(np.uint32).tobytes()
-        out.append((piece, int(bucket[s]), 0, blob))
+        out.append((piece, int(bucket[s]), 0, np.uint32(e - s).tobytes() + (distinct[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + many[s:e].tobytes()))
     return blobs(out)
 
 
 def _classify(table: pa.Table, frequent: int) -> pa.Table:
     """0 private, 1 rare, 2 frequent, for each asked shingle."""
     rows = rows_of(table, "piece")
-    values, groups, counts = [], [], []
-    for r, (*_, b) in enumerate(rows):
-        n, m = np.frombuffer(b, np.uint32, 2)
-        names = np.frombuffer(b, np.int64, m, 8)
-        values.append(np.frombuffer(b, np.uint32, n, 8 + 8 * m))
-        k = np.frombuffer(b, np.uint8, n, 8 + 8 * m + 4 * n)
-        g = np.full(n, -1 - r, np.int64)  # alone: no other piece has that document
-        g[k == 1] = names[np.frombuffer(b, np.uint32, -1, 8 + 8 * m + 5 * n)]
-        g[k == 2] = np.iinfo(np.int64).min
-        groups.append(g)
-        counts.append(int(n))
-    value, group = np.concatenate(values), np.concatenate(groups)
-    order = np.lexsort((group, value))
-    v, g = value[order], group[order]
-    start = cuts(v)
-    fresh = np.ones(len(v), np.int64)
-    fresh[1:] = (v[1:] != v[:-1]) | (g[1:] != g[:-1])
-    fresh += g == np.iinfo(np.int64).min  # several groups in one piece are two at least
-    number = np.add.reduceat(fresh, start)
+    sizes = [int(np.frombuffer(b, np.uint32, 1)[0]) for *_, b in rows]
+    value = np.concatenate([np.frombuffer(b, np.uint32, n, 4) for (*_, b), n in zip(rows, sizes, strict=True)])
+    many = np.concatenate([np.frombuffer(b, np.uint8, n, 4 + 4 * n) for (*_, b), n in zip(rows, sizes, strict=True)]).astype(np.int64)
+    order = np.argsort(value, kind="stable")
+    start = cuts(value[order])
+    number = np.add.reduceat(many[order], start) if len(start) else many
     klass = np.where(number > frequent, 2, np.where(number > 1, 1, 0)).astype(np.uint8)
-    back = np.empty(len(v), np.uint8)
-    back[order] = np.repeat(klass, np.diff(np.append(start, len(v))))
-    ends = np.cumsum(counts)
-    out = []
-    for (p, k, _, _), n, e in zip(rows, counts, ends, strict=True):
-        own = back[e - n : e]
-        out.append((p, k, 0, np.packbits(own > 0).tobytes() + np.packbits(own > 1).tobytes()))
-    return blobs(out)
+    back = np.empty(len(value), np.uint8)
+    back[order] = np.repeat(klass, np.diff(np.append(start, len(value))))
+    ends = np.cumsum(sizes)
+    return blobs([(p, k, 0, np.packbits(back[e - n : e] > 0).tobytes() + np.packbits(back[e - n : e] > 1).tobytes()) for (p, k, _, _), n, e in zip(rows, sizes, ends, strict=True)])
 
 
-def prefix_keys(shingles: np.ndarray, klass: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(shingles: np.ndarray, klass: np.ndarray, percent: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of a set, and for each the largest overlap of a link that first shows up under it.
 
-    In the order private, rare, frequent, a link's first shared shingle stands in the
-    first |s| - ceil(t |s|) + 1 places.  If it is rare, it is a key; if it is frequent,
-    so is the second, one place further at most, and the two are a key.  What
-    stands before a first shared shingle is not shared, which bounds the overlap.
+    Of n shingles, a set that links has all but ``spare`` = n - ceil(t n).  In the order private, rare,
+    frequent, what stands before a first shared shingle is not shared.  So a first shared shingle stands in
+    the first spare + 1 places; if it is rare, it is a key.
+
+    If it is frequent, the r others are not shared.  A combination is k frequent shingles in a row, by
+    their hashes.  Where a set that links lacks d of these n shingles and has e others, d + t e <= (1 - t) n;
+    at least r of the d are none of the frequent ones.  A shingle that is lacking breaks k combinations, one that
+    only the other set has k - 1.  For t >= (k - 1) / k most are broken where e is 0: k ((1 - t) n - r).  So of
+    any combinations more than that, the two sets share one; both index so many of those with the
+    smallest hashes, and one more.  Sets with too few combinations, and all sets if t is lower, index their
+    frequent shingles one by one, besides.
     """
     n = len(shingles)
     least = (percent * n + 99) // 100
-    order = np.lexsort((shingles, klass))[: min(n, n - least + 2)]
-    s, k = shingles[order], klass[order]
-    first = n - least + 1
-    rare = np.flatnonzero(k[:first] == 1)
-    common = np.flatnonzero(k == 2)
-    if least < 2:  # a set so small that links share one shingle only
-        alone = np.concatenate([rare, common[common < first]])
-        return s[alone], n - alone
-    i, j = np.triu_indices(len(common), 1)
-    i, j = common[i], common[j]
-    i, j = i[i < first], j[i < first]
-    pairs = mix(s[i] * np.uint64(0x9E3779B97F4A7C15) + s[j])
-    return np.concatenate([s[rare], pairs]), np.concatenate([n - rare, np.minimum(n - i, 1 + n - j)])
+    spare = n - least
+    order = np.lexsort((shingles, klass))
+    s, kind = shingles[order], klass[order]
+    rare = np.flatnonzero(kind[: spare + 1] == 1)
+    keys, room = [s[rare]], [n - rare]
+    r = n - int((klass == 2).sum())
+    if r <= spare:
+        common = s[r:]
+        broken = k * ((100 - percent) * n - 100 * r) // 100
+        many = len(common) - k + 1
+        if many > 0:
+            combined = common[:many].copy()
+            for j in range(1, k):
+                combined = mix(combined * np.uint64(0x9E3779B97F4A7C15) + common[j : j + many])
+            keys.append(np.sort(combined)[: broken + 1])
+            room.append(np.full(len(keys[-1]), n - r))
+        if many <= broken or percent * k < 100 * (k - 1):
+            single = common[: spare + 1 - r]
+            keys.append(mix(single + np.uint64(k)))
+            room.append(n - r - np.arange(len(single)))
+    return np.concatenate(keys), np.concatenate(room)
 
 
 def parity_map(shingles: np.ndarray) -> np.ndarray:
@@ -211,75 +209,95 @@ def parity_map(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(_SIGNED)
 
 
-def _index(table: pa.Table, more: pa.Table, buckets: int, words: int, percent: int) -> pa.Table:
-    names = ["key", "doc_id", "component", "n", "room", *(f"m{k}" for k in range(MAP_WORDS))]
-    if not table.num_rows:
-        return pa.table({k: pa.array([], pa.int64()) for k in names})
-    import pyarrow.compute as pc
-
-    labels = more.filter(pc.equal(more.column("kind"), 9))
-    ids, sets, groups = _sets(table, labels, words)
-    value, order, start, distinct = _distinct(sets, buckets)
-    bucket = (distinct >> np.uint64(32)).astype(np.int64)
-    per = np.bincount(bucket, minlength=buckets) if len(bucket) else np.zeros(buckets, np.int64)
-    at = np.cumsum(per) - per
-    klass = np.zeros(len(distinct), np.uint8)
-    for _, k, kind, b in rows_of(more, "bucket"):
-        if kind == 0:
-            bits = np.frombuffer(b, np.uint8)
-            half = len(bits) // 2
-            klass[at[k] : at[k] + per[k]] = np.unpackbits(bits[:half], count=per[k]) + np.unpackbits(bits[half:], count=per[k])
-    every = np.empty(len(value), np.uint8)
-    every[order] = np.repeat(klass, np.diff(np.append(start, len(value))))
-    out, done = [], 0
-    for i, s, g in zip(ids.tolist(), sets, groups, strict=True):
-        own = every[done : done + len(s)]
-        done += len(s)
-        if own.any():
-            keys, room = prefix_keys(s, own, percent)
-            if len(keys):
-                out.append((keys.view(_SIGNED), np.full(len(keys), i), np.full(len(keys), i if g is None else g), np.full(len(keys), len(s)), room, *(np.full(len(keys), m) for m in parity_map(s))))
-    return pa.table({k: pa.array(np.concatenate([o[c] for o in out]) if out else [], pa.int64()) for c, k in enumerate(names)})
-
-
-def candidates(docs: DataFrame, labels: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT) -> DataFrame:
-    """Pairs (a, b) of documents of different groups that meet in the index; labels: (node, component)."""
+_INDEX_SCHEMA = "key long, doc_id long, n long, room long, lead boolean"
+
+
+def _index(table: pa.Table, more: pa.Table, buckets: int, words: int, percent: int, k: int, lead: int) -> pa.Table:
+    """A row for each index key of each document; lead marks the few smallest keys of a document."""
+    parts: list[tuple] = []
+    if table.num_rows:
+        ids, sets = _sets(table, more.filter(pc.equal(more.column("kind"), 9)), words)
+        value, order, start, distinct = _distinct(sets, buckets)
+        bucket = (distinct >> np.uint64(32)).astype(np.int64)
+        per = np.bincount(bucket, minlength=buckets) if len(bucket) else np.zeros(buckets, np.int64)
+        at = np.cumsum(per) - per
+        klass = np.zeros(len(distinct), np.uint8)
+        for _, p, kind, b in rows_of(more, "bucket"):
+            if kind == 0:
+                bits = np.frombuffer(b, np.uint8)
+                half = len(bits) // 2
+                klass[at[p] : at[p] + per[p]] = np.unpackbits(bits[:half], count=per[p]) + np.unpackbits(bits[half:], count=per[p])
+        every = np.empty(len(value), np.uint8)
+        every[order] = np.repeat(klass, np.diff(np.append(start, len(value))))
+        done = 0
+        for i, s in zip(ids.tolist(), sets, strict=True):
+            own = every[done : done + len(s)]
+            done += len(s)
+            if own.any():
+                keys, room = prefix_keys(s, own, percent, k)
+                if len(keys):
+                    first = np.zeros(len(keys), bool)
+                    first[np.argpartition(keys, lead - 1)[:lead] if 0 < lead < len(keys) else slice(0, lead and None)] = True
+                    parts.append((keys.view(_SIGNED), np.full(len(keys), i), np.full(len(keys), len(s)), room, first))
+    names, kinds = ["key", "doc_id", "n", "room", "lead"], [pa.int64()] * 4 + [pa.bool_()]
+    return pa.table({c: pa.array(np.concatenate([p[j] for p in parts]) if parts else [], t) for j, (c, t) in enumerate(zip(names, kinds, strict=True))})
+
+
+def index(docs: DataFrame, first: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, lead: int = LEAD) -> DataFrame:
+    """key, doc_id, n, room, lead: the index of those documents whose doc_id is in first."""
     pieces, buckets = piece_count(docs), bucket_count(docs)
+    k = 2 if first.count() <= 64 * frequent**2 else 3
     piece = lambda c: F.pmod(F.xxhash64(c), F.lit(pieces)).cast("int")
-    dealt = _plain(docs).where("doc_id is not null").select(piece("doc_id").alias("piece"), "doc_id", "text")
-    marks = labels.select(piece("node").alias("piece"), F.lit(None).cast("int").alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("blob"), "node", "component")
-    asked = dealt.groupBy("piece").cogroup(labels.select(piece("node").alias("piece"), "node", "component").groupBy("piece")).applyInArrow(lambda x, y: _ask(x, y, buckets, words), BLOB_SCHEMA)
-    classes = asked.groupBy("bucket").applyInArrow(lambda t: _classify(t, frequent), BLOB_SCHEMA)
-    more = classes.withColumn("node", F.lit(None).cast("long")).withColumn("component", F.lit(None).cast("long")).unionAll(marks)
-    index = dealt.groupBy("piece").cogroup(more.groupBy("piece")).applyInArrow(lambda x, y: _index(x, y, buckets, words, percent), "key long, doc_id long, component long, n long, room long" + "".join(f", m{k} long" for k in range(MAP_WORDS)))
-    index, _ = written(index, "index")
-    other = index.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("room").alias("room_b"), *[F.col(f"m{k}").alias(f"w{k}") for k in range(MAP_WORDS)])
+    dealt = grouped(_plain(docs).where("doc_id is not null").select(piece("doc_id").alias("piece"), "doc_id", "text"), "piece", pieces)
+    marks = first.select(piece("doc_id").alias("piece"), F.lit(None).cast("int").alias("bucket"), F.lit(9).alias("kind"), F.lit(None).cast("binary").alias("blob"), F.col("doc_id").alias("node"))
+    asked = dealt.cogroup(grouped(marks.select("piece", "node"), "piece", pieces)).applyInArrow(lambda x, y: _ask(x, y, buckets, words), BLOB_SCHEMA)
+    classes = grouped(asked, "bucket", buckets).applyInArrow(lambda t: _classify(t, frequent), BLOB_SCHEMA)
+    more = grouped(classes.withColumn("node", F.lit(None).cast("long")).unionAll(marks), "piece", pieces)
+    return dealt.cogroup(more).applyInArrow(lambda x, y: _index(x, y, buckets, words, percent, k, lead), _INDEX_SCHEMA)
+
+
+def leftover(found: DataFrame, groups: DataFrame, signed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of documents of different components that share an index key and may link."""
+    own = found.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    own, _ = written(own.select("key", "doc_id", "n", "room", "component"), "index-rows")
+    sizes = own.groupBy("key", "component").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("main"), F.count("*").alias("many")).where("many > 1")
+    mixed = mixed.select(F.col("key").alias("mixed_key"), F.xxhash64("key").alias("h"), F.col("main.component").alias("main"))
+    rows = own.withColumn("h", F.xxhash64("key")).join(mixed, "h").where(F.col("key") == F.col("mixed_key")).drop("mixed_key", "h")
+    maps = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), *_MAP).distinct()
+    rows, _ = written(rows.join(maps, ["doc_id", "n"]), "mixed-rows")
+    minor = rows.where("component <> main").drop("main")
+    other = rows.select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("room").alias("room_b"), "main", *[F.col(m).alias(f"w{m}") for m in _MAP])
     # o of a union of n + nb - o is t or more if and only if o (1 + t) is t (n + nb) or more
     enough = F.least("room", "room_b") * (100 + percent) >= percent * (F.col("n") + F.col("nb"))
     # sets that link differ in (1 - t) / (1 + t) of n + nb shingles at most
-    apart = sum((F.bit_count(F.col(f"m{k}").bitwiseXOR(F.col(f"w{k}"))) for k in range(MAP_WORDS)), F.lit(0))
-    enough = enough & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nb")))
-    met = index.join(other, "key").where((F.col("component") != F.col("cb")) & (F.col("doc_id") < F.col("b")) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb")) & enough)
-    return met.select(F.col("doc_id").alias("a"), "b").distinct()
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"w{m}"))) for m in _MAP), F.lit(0))
+    enough = enough & (apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("nb"))) & (100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
+    # two rows outside the main component meet twice, and count once
+    once = (F.col("cb") == F.col("main")) | (F.col("doc_id") < F.col("b"))
+    met = minor.join(other, "key").where((F.col("component") != F.col("cb")) & once & enough)
+    return met.select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
 
 
-def join_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, hashes: int = HASHES) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, frequent: int = FREQUENT, lead: int = LEAD) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included) for each row of docs."""
-    signed, _ = written(signatures(docs, words, hashes), "signatures")
+    signed, _ = written(signatures(docs, words), "signatures")
     ids = signed.where("doc_id is not null and n_shingles > 0")
     equal = _stars(ids.select("doc_id", "digest"), "digest")
     # of equal sets, one goes on
-    lone = ids.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    hashed = ids.join(lone, ["digest", "doc_id"]).select("doc_id", F.posexplode("least").alias("j", "h")).select("doc_id", F.xxhash64("j", "h").alias("h")).distinct()
-    near, _ = written(verified(docs, _stars(hashed, "h"), percent, words), "near-links")
+    first, _ = written(ids.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "first")
+    found, _ = written(index(docs, first, percent, words, frequent, lead), "index")
+    near, _ = written(verified(docs, _stars(found.where("lead").select("doc_id", "key"), "key"), percent, words), "near-links")
     groups, _ = written(components(equal.unionByName(near)), "groups")
-    missed, _ = written(verified(docs, candidates(docs, groups, percent, words, frequent), percent, words), "more-links")
+    missed, _ = written(verified(docs, leftover(found, groups, signed, percent), percent, words), "more-links")
     links = groups.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(missed)
     final = groups if missed.isEmpty() else components(links)
+    final = final.select(F.col("node"), "component")
     return signed.join(final, signed["doc_id"] == final["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """The documents without those that link, directly or not, to one with a smaller id; all columns stay."""
-    found = join_components(docs, percent, words).where("component_id < doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("__d"), "left_anti")
+    own = fresh(docs, "lost")
+    found = join_components(docs, percent, words).where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left_anti")

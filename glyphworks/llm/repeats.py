@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, grouped, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
 
 LENGTH, KMER = 50, 20
 _CHUNK = 1 << 15
@@ -378,17 +378,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text
     """
     if not 8 <= kmer <= length < 128 or length - kmer > 63 or kmer % 4:
         raise ValueError("kmer: a multiple of 4 from 8 to length; length: below 128, at most kmer + 63")
-    buckets = bucket_count(docs)
-    dealt = in_pieces(docs, piece_count(docs))
+    pieces, buckets = piece_count(docs), bucket_count(docs)
+    dealt = in_pieces(docs, pieces)
     how = {"buckets": buckets, "length": length, "kmer": kmer}
 
     def by_piece(fn, other: DataFrame, schema: str) -> DataFrame:
-        return dealt.groupBy("piece").cogroup(other.groupBy("piece")).applyInArrow(lambda x, y: fn(x, y), schema)
+        return grouped(dealt, "piece", pieces).cogroup(grouped(other, "piece", pieces)).applyInArrow(lambda x, y: fn(x, y), schema)
 
-    listed = dealt.groupBy("piece").applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
-    shared = listed.groupBy("bucket").applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
+    listed = grouped(dealt, "piece", pieces).applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
+    shared = grouped(listed, "bucket", buckets).applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
     sent = by_piece(partial(_send_contexts, **how), shared, BLOB_SCHEMA)
-    found = sent.groupBy("bucket").applyInArrow(_bound(_answer_contexts, length=length, kmer=kmer), BLOB_SCHEMA)
+    found = grouped(sent, "bucket", buckets).applyInArrow(_bound(_answer_contexts, length=length, kmer=kmer), BLOB_SCHEMA)
     schema = REMOVED_SCHEMA if texts else REMOVED_SCHEMA.partition(", kept binary")[0]
     return by_piece(partial(_remove, texts=texts, **how), shared.unionAll(found), schema)
 
@@ -472,12 +472,13 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> Da
     windows of one anchor reach (2 * length - kmer bytes); a longer passage is a
     chain of overlapping groups.
     """
-    buckets = bucket_count(docs)
-    dealt = in_pieces(docs, piece_count(docs))
+    pieces, buckets = piece_count(docs), bucket_count(docs)
+    dealt = in_pieces(docs, pieces)
     how = {"buckets": buckets, "length": length, "kmer": kmer}
-    shared = dealt.groupBy("piece").applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA).groupBy("bucket").applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
-    sent = dealt.groupBy("piece").cogroup(shared.groupBy("piece")).applyInArrow(lambda x, y: _send_occurrences(x, y, **how), BLOB_SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
+    listed = grouped(dealt, "piece", pieces).applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
+    shared = grouped(listed, "bucket", buckets).applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
+    sent = grouped(dealt, "piece", pieces).cogroup(grouped(shared, "piece", pieces)).applyInArrow(lambda x, y: _send_occurrences(x, y, **how), BLOB_SCHEMA)
+    return grouped(sent, "bucket", buckets).applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
 
 
 def _bound(fn, **how):

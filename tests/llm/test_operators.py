@@ -304,7 +304,7 @@ def components_by_force(data, percent=80):
     return sorted(((i, len(s), None if i is None else find(i)) for i, s in sets), key=str)
 
 
-@pytest.mark.parametrize("how", [{}, {"hashes": 0}, {"hashes": 0, "frequent": 2}])
+@pytest.mark.parametrize("how", [{}, {"lead": 0}, {"lead": 0, "frequent": 2}, {"lead": 0, "frequent": 0}])
 def test_jaccard(spark, docs, how):
     rng = np.random.default_rng(3)
     template = [f"w{i}" for i in range(60)]
@@ -318,6 +318,34 @@ def test_jaccard(spark, docs, how):
     assert sorted(map(tuple, jaccard.join_components(df, **how).collect()), key=str) == components_by_force(data)
 
 
+def test_prefix_keys():
+    """Sets that link share a key whose bound allows their overlap, whatever the classes; keys grow with the set, not with its square."""
+    rng = np.random.default_rng(8)
+    seen = 0
+    for trial in range(6000):
+        percent, k = int(rng.choice([80, 80, 80, 90, 60])), int(rng.choice([2, 3]))
+        n = int(rng.integers(1, 60 if trial % 2 else 12))
+        universe = np.sort(rng.choice(1 << 40, 2 * n + 4, replace=False)).astype(np.uint64)
+        klass = rng.choice([0, 1, 2], len(universe), p=[0.0, 0.1, 0.9] if trial % 3 else [0.1, 0.4, 0.5]).astype(np.uint8)
+        a = np.sort(rng.choice(len(universe), n, replace=False))
+        b = set(a.tolist()) - set(rng.choice(a, int(rng.integers(0, n // 4 + 1)), replace=False).tolist())
+        b = np.array(sorted(b | set(rng.choice(len(universe), int(rng.integers(0, n // 4 + 2)), replace=False).tolist())))
+        both = len(np.intersect1d(a, b))
+        # a private shingle is in one set only
+        klass[np.intersect1d(a, b)] = np.maximum(klass[np.intersect1d(a, b)], 1)
+        if not jaccard.linked(universe[a], universe[b], percent):
+            continue
+        (ka, ra), (kb, rb) = (jaccard.prefix_keys(universe[x], klass[x], percent, k) for x in (a, b))
+        bound = {}
+        for key, room in zip(kb.tolist(), rb.tolist(), strict=True):
+            bound[key] = max(room, bound.get(key, 0))
+        assert any(key in bound and min(room, bound[key]) >= both for key, room in zip(ka.tolist(), ra.tolist(), strict=True)), (a, b, klass)
+        seen += 1
+    assert seen > 1500
+    many = np.sort(rng.integers(0, 1 << 62, 20_000)).astype(np.uint64)
+    assert len(jaccard.prefix_keys(many, np.full(len(many), 2, np.uint8), 80, 2)[0]) == 8001 and len(jaccard.prefix_keys(many, np.full(len(many), 2, np.uint8), 80, 3)[0]) == 12_001
+
+
 def test_one_of_each(docs, empty):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
