@@ -1,16 +1,21 @@
 """Exact top-k inner products over norm-sorted, SVD-rotated blocks.
 
-Components become integers, floor(scale * x).  Candidates are dealt into blocks
-by descending length (and a hash, so that equal vectors do not meet in one
-block).  In a block the leading coordinates of the rotation that diagonalises
+Components become integers, floor(scale * x).  Candidates are dealt into levels by
+descending length, and each level into blocks by a hash, so that equal vectors do not meet
+in one block.  The longest vectors give each query a lower bound of its k-th score, and so a
+length below which no candidate can enter (Cauchy-Schwarz): queries are dealt by the
+last level that matters to them, and pairs of a block and a query part beyond it are
+never made.  In a block the leading coordinates of the rotation that diagonalises
 the second moments give partial sums; the Cauchy-Schwarz inequality bounds the
 rest, and the length of the next vectors bounds all that follow.  Only pairs
 whose bound reaches the query's k-th score so far get an integer inner product,
 so results are exact.
 
 Vectors that are null, lack an id or hold null or non-finite components take no
-part.  Shorter vectors count as filled up with zeros.  A query's own rows are
-all rows with its id; a repeated query is asked once.  Ties go to the smaller id.
+part.  Shorter vectors count as filled up with zeros; an empty one has score 0 with all.  A query's own
+rows are all rows with its id; a repeated query is asked once.  Ties go to the smaller id.
+Components or scores that do not fit into 64 bits are an error.  Empty tables, or no queries, give no rows.  Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glyphworks.llm._shared import written
+
 K, SCALE = 10, 1024
-BLOCK, QUERIES, RANGES, SEED_ROWS = 8192, 2048, 4, 512
+BLOCK, QUERIES, LEVELS, SEED_ROWS = 8192, 2048, 16, 512
 _OUT = "query_id long, query_key long, vec_id long, score long"
 
 
@@ -32,7 +39,10 @@ def integer_vectors(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_i
     """(vec_id, v array<long>, norm): those vectors that take part."""
     e = F.col(vector_col)
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    v = F.transform(e, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
+    scaled = lambda x: x.cast("double") * F.lit(float(scale))
+    error = F.raise_error(F.lit("a component does not fit into 64 bits")).cast("long")
+    # Spark may evaluate this for rows that the filter below drops: those get nulls
+    v = F.transform(e, lambda x: F.when(F.abs(scaled(x)) < 2.0**63, F.floor(scaled(x))).when(F.abs(x.cast("double")) < float("inf"), error))
     out = vectors.where(F.col(id_col).isNotNull() & e.isNotNull() & fine).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
@@ -76,13 +86,19 @@ def _rotation(v: DataFrame, width: int) -> np.ndarray:
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row inner products; beyond 63 bits they stop at the ends of the long type."""
-    if len(q) and float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] >= 2.0**62:
+    """Row by row inner products; an OverflowError if one does not fit into 64 bits."""
+    if len(q) and float(np.abs(q.astype(np.float64)).max()) * float(np.abs(x.astype(np.float64)).max()) * q.shape[1] >= 2.0**62:
         sums = [sum(int(a) * int(b) for a, b in zip(r, s, strict=True)) for r, s in zip(q, x, strict=True)]
-        return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], np.int64)
+        return np.array([_checked(s) for s in sums], np.int64)
     return np.einsum("ij,ij->i", q, x)
 
 
+def _checked(score: int) -> int:
+    if not -(1 << 63) <= score < 1 << 63:
+        raise OverflowError("a score does not fit into 64 bits")
+    return score
+
+
 def _search(queries, cand, rotation: np.ndarray, seeds, k: int) -> tuple[np.ndarray, ...]:
     """Best k of a block for each query: query index, vec_id, score."""
     (qid, q), (cid, c), width = queries, cand, rotation.shape[0]
@@ -109,7 +125,7 @@ def _search(queries, cand, rotation: np.ndarray, seeds, k: int) -> tuple[np.ndar
         qi, xi = live[qi], xi + at
         score = np.concatenate([_exact(q[qi[s : s + 65536]], c[xi[s : s + 65536]]) for s in range(0, len(qi), 65536)])
         qi, ids, score = (np.concatenate([a, b]) for a, b in zip(best, (qi, cid[xi], score), strict=True))
-        o = np.lexsort((ids, -score.astype(np.float64) if len(score) and abs(score).max() >= 2**62 else -score, qi))
+        o = np.lexsort((ids, ~score, qi))
         qi, ids, score = qi[o], ids[o], score[o]
         start = np.flatnonzero(np.append(True, qi[1:] != qi[:-1]))
         size = np.diff(np.append(start, len(qi)))
@@ -121,59 +137,74 @@ def _search(queries, cand, rotation: np.ndarray, seeds, k: int) -> tuple[np.ndar
     return best
 
 
-def _width(v: DataFrame) -> int:
-    return v.agg(F.max(F.size("v"))).first()[0] or 0
+def _first_bounds(q: np.ndarray, qid: np.ndarray, seed_id: np.ndarray, seed: np.ndarray, k: int) -> np.ndarray:
+    """A lower bound of each query's k-th score, from the longest vectors."""
+    first = np.full(len(q), -np.inf)
+    for s in range(0, len(q), 256):
+        dots = q[s : s + 256].astype(np.float64) @ seed.T.astype(np.float64)
+        dots[qid[s : s + 256, None] == seed_id] = -np.inf
+        if dots.shape[1] >= k:
+            first[s : s + 256] = np.partition(dots, -k, 1)[:, -k]
+    return first - np.abs(np.where(np.isfinite(first), first, 0)) * 1e-9 - 0.5
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, levels: int = LEVELS, block: int = BLOCK, part: int = QUERIES) -> DataFrame:
     """(query_id, rank from 1, vec_id, score) of the k highest inner products of each query.
 
-    is_query: a condition on vec_id.  Work is cut into pairs of a candidate block
-    and a query block, both of bounded size, whatever their number.
+    is_query: a condition on vec_id.  Work is cut into pairs of a candidate block and a query part, both of bounded
+    size, whatever their number.
     """
     spark = vectors.sparkSession
     v = integer_vectors(vectors, scale)
-    n, width = v.agg(F.count("*"), F.max(F.size("v"))).first()
+    n, width, top = v.agg(F.count("*"), F.max(F.size("v")), F.max("norm")).first()
     empty = "query_id long, rank int, vec_id long, score long"
     if not n or not width:
         return spark.createDataFrame([], empty)
-    queries = v.where(is_query).select("vec_id", "v").distinct().withColumn("query_key", F.xxhash64("v"))
-    n_queries = queries.count()
-    if not n_queries:
-        return spark.createDataFrame([], empty)
+    queries = v.where(is_query).select("vec_id", "v", "norm").distinct()
     rotation = _rotation(v, width)
-    # the longest vectors give each query a first lower bound of its k-th score
     edge = v.select("norm").orderBy(F.desc("norm")).limit(SEED_ROWS).agg(F.min("norm")).first()[0]
     longest = v.where(F.col("norm") >= edge).select("vec_id", "v").limit(SEED_ROWS).collect()
     seeds = (np.array([r.vec_id for r in longest]), np.array([list(r.v) + [0] * (width - len(r.v)) for r in longest], np.int64))
-    edges = v.approxQuantile("norm", [i / RANGES for i in range(1, RANGES)], 0.01)
-    salts, parts = -(-n // (RANGES * BLOCK)), -(-n_queries // QUERIES)
-    level = sum(((F.col("norm") < e).cast("int") for e in edges), F.lit(0))
-    cands = v.select(
-        "vec_id", "v", (level * F.lit(salts) + F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(salts)).cast("int")).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"),
-    )
-    asked = queries.select(
-        "vec_id", "v", "query_key", F.explode(F.sequence(F.lit(0), F.lit(RANGES * salts - 1))).alias("block"),
-        F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"),
-    )
     shared = spark.sparkContext.broadcast((rotation, seeds))
+    # tops[l]: no vector of level l is longer
+    tops = [top, *sorted({e for e in v.approxQuantile("norm", [i / levels for i in range(1, levels)], 0.01) if e < top}, reverse=True)]
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            q = _matrix(b.column("v"), width)
+            first = _first_bounds(q, b.column("vec_id").to_numpy(), *shared.value[1], k)
+            norm = b.column("norm").to_numpy()
+            # a candidate needs this length at least; a little less, for rounding
+            need = np.where(norm > 0, first / np.maximum(norm, 1e-300), -np.inf) * (1 - 1e-9)
+            last = np.maximum(0, np.searchsorted(-np.array(tops), -need, "right") - 1)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(first), pa.array(last.astype(np.int32))], names=["vec_id", "v", "first", "last"])
+
+    asked, _ = written(queries.mapInArrow(bounded, "vec_id long, v array<long>, first double, last int"), "queries")
+    asked = asked.withColumn("query_key", F.xxhash64("v"))
+    per = {r["last"]: r["count"] for r in asked.groupBy("last").count().collect()}  # a row for each level at most
+    if not per:
+        return spark.createDataFrame([], empty)
+    # parts are numbered from the queries that reach farthest, so that a level is asked by the first few parts
+    cuts, begin, parts = [0] * len(tops), [0] * len(tops), 0
+    for level in reversed(range(len(tops))):
+        begin[level] = parts
+        parts += -(-per.get(level, 0) // part)
+        cuts[level] = parts
+    salts = -(-n // (len(tops) * block))
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(x) for x in values]), at + 1)
+    level = sum(((F.col("norm") <= t).cast("int") for t in tops[1:]), F.lit(0))
+    cands = v.select("vec_id", "v", level.alias("level"), F.pmod(F.xxhash64("vec_id", F.hash("v")), F.lit(salts)).cast("int").alias("salt")).where(pick(cuts, F.col("level")) > 0)
+    cands = cands.select("vec_id", "v", (F.col("level") * F.lit(salts) + F.col("salt")).alias("block"), F.explode(F.sequence(F.lit(0), pick(cuts, F.col("level")) - 1)).alias("part"))
+    own_part = pick(begin, F.col("last")) + F.pmod(F.xxhash64("vec_id"), pick([max(1, -(-per.get(x, 0) // part)) for x in range(len(tops))], F.col("last"))).cast("int")
+    asked = asked.select("vec_id", "v", "first", "query_key", own_part.alias("part"), F.explode(F.sequence(F.lit(0), (F.col("last") + 1) * F.lit(salts) - 1)).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        rotation, (seed_id, seed) = shared.value
         if not left.num_rows or not right.num_rows:
             picked, ids, score, qid, key = [], [], [], [], []
         else:
             qid, key = right.column("vec_id").to_numpy(), right.column("query_key").to_numpy()
-            q = _matrix(right.column("v"), width)
-            first = np.full(len(q), -np.inf)
-            for s in range(0, len(q), 256):
-                dots = q[s : s + 256].astype(np.float64) @ seed.T.astype(np.float64)
-                dots[qid[s : s + 256, None] == seed_id] = -np.inf
-                if dots.shape[1] >= k:
-                    first[s : s + 256] = np.partition(dots, -k, 1)[:, -k]
-            first -= np.abs(first) * 1e-9 + 0.5
-            picked, ids, score = _search((qid, q), (left.column("vec_id").to_numpy(), _matrix(left.column("v"), width)), rotation, first, k)
+            candidates = left.column("vec_id").to_numpy(), _matrix(left.column("v"), width)
+            picked, ids, score = _search((qid, _matrix(right.column("v"), width)), candidates, shared.value[0], right.column("first").to_numpy(), k)
             qid, key = qid[picked], key[picked]
         return pa.table({"query_id": pa.array(qid, pa.int64()), "query_key": pa.array(key, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(score, pa.int64())})
 
