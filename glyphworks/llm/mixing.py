@@ -2,34 +2,38 @@
 
 Each source is a queue of shuffled documents, taken at most EPOCHS times over.
 A copy's virtual finish time is the running number of its source's words, its
-own included, divided by the source's target.  Copies of all sources are ranged
-by that time, and the mix ends where the budget - the words of the whole
+own included, divided by the source's target.  Copies of all sources are sorted
+by that time over all, and the mix ends where the budget - the words of the whole
 input - is used up.
 
 The shuffle order is an md5 of the id, so reruns agree.  Running sums are made in
 two levels: by source and leading digits of the md5, then within such a cell, so
 that a source with a third of all rows is spread over all tasks.  The end of the
-mix is found the same way: a histogram of finish times, then only the bin in
-which the budget ends.  All running sums include ties, so rows that are equal in
-every respect get equal results.
+mix is found by histograms of finish times, each of the bin of the one before in which the
+budget ends, down to a few rows.  All sources run from time 0 to 1 at their targets' pace, so equal spans of time hold
+equal shares of words: mix() deals copies by spans and sorts each.
 
-Nulls: a null text has size 0, a null source is a source of its own (last in
+All running sums include ties, so rows that are equal in every respect get equal results, and so do rows
+of one source and id.  Nulls: a null text has size 0, a null source is a source of its own (last in
 order), a null id is shuffled like an empty one.  A source without words has
-target 0 and nothing of it is taken.
+target 0 and nothing of it is taken.  Very long texts are one row each.  An empty table gives no rows.  Extra columns, whatever their names, are
+kept by mix() and not read otherwise.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphworks.llm._pieces import planned_bytes
-from glyphworks.llm._shared import written
+from glyphworks.llm._pieces import planned_bytes, shuffle_width
+from glyphworks.llm._shared import fresh, remove, written
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
+#: Bytes of input for each span of finish times in mix().
+SPAN_BYTES = 16 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,12 +62,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return t.select("source", "source_size", F.when(F.col("final").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("final") * F.col("weight"))).alias("target"))
 
 
-def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (0 to epochs) and taken = copies x size."""
-    digits = min(6, max(2, math.ceil(math.log(max(2, planned_bytes(docs) / (1 << 20)), 16))))
+#: Bins of a histogram, and rows of a bin that one task may sort.
+BINS, FEW = 4096, 10_000
+
+
+def _timed(docs: DataFrame, weights: tuple[int, ...], epochs: int, seed: str) -> DataFrame:
+    """A written table: doc_id, source, size, key, source_size, target, finish (the finish time of each copy; null without a target)."""
+    digits = min(5, max(2, math.ceil(math.log(max(2, planned_bytes(docs) / (1 << 20)), 16))))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    # texts are read once, to count their words; all that follows works on four small columns
-    rows, _ = written(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")), "sizes")
+    # texts are read once, to count their words; all that follows works on a few small columns
+    rows, path = written(docs.select("doc_id", "source", word_count().alias("size"), key.alias("key")), "sizes")
     rows = rows.withColumn("cell", F.substring("key", 1, digits))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,46 +79,84 @@ def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     shares = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, epochs)
     offsets = offsets.join(shares, offsets["source"].eqNullSafe(shares["source"])).select(offsets["source"].alias("s"), F.col("cell").alias("c"), "before", "source_size", "target")
     joined = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("cell") == F.col("c"))).drop("s", "c")
-    in_cell = Window.partitionBy("source", "cell").orderBy("key")
-    done = F.col("before") + F.sum("size").over(in_cell)
-    timed = joined.withColumn("done", done).withColumn("finish", F.when(F.col("target") > 0, F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: (e.cast("long") * F.col("source_size") + F.col("done")).cast("double") / F.col("target"))))
-    end = _end(timed, digits)
+    done = F.col("before") + F.sum("size").over(Window.partitionBy("source", "cell").orderBy("key"))
+    finish = F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: (e.cast("long") * F.col("source_size") + F.col("done")).cast("double") / F.col("target"))
+    timed = joined.withColumn("done", done).select("doc_id", "source", "size", "key", F.col("source_size").cast("long").alias("source_size"), "target", F.when(F.col("target") > 0, finish).alias("finish"))
+    timed, _ = written(timed, "finish-times")
+    remove(docs.sparkSession, path)
+    return timed
+
+
+def _taken(timed: DataFrame) -> Column:
+    """array of struct(t, key, e): the copies of a row that the mix takes."""
+    copies = F.transform("finish", lambda t, e: F.struct(t.alias("t"), F.col("key").alias("key"), e.alias("e")))
+    end = _end(timed)
+    none = F.filter(copies, lambda c: F.lit(False))
     if end is None:
-        copies = F.lit(0)
-    else:
-        last = F.struct(F.lit(end[0]).alias("t"), F.lit(end[1]).alias("key"), F.lit(end[2]).alias("e"))
-        taken = F.filter("finish", lambda t, e: F.struct(t.alias("t"), F.col("key").alias("key"), e.alias("e")) <= last)
-        copies = F.coalesce(F.size(taken), F.lit(0))
+        return none
+    last = F.struct(F.lit(end[0]).alias("t"), F.lit(end[1]).alias("key"), F.lit(end[2]).alias("e"))
+    return F.coalesce(F.filter(copies, lambda c: c <= last), none)
+
+
+def queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (0 to epochs) and taken = copies x size."""
+    timed = _timed(docs, weights, epochs, seed)
+    copies = F.coalesce(F.size(_taken(timed)), F.lit(0))
     copies = F.when(F.col("finish").isNull(), F.lit(0)).otherwise(copies)
-    return timed.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return timed.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
-def _end(timed: DataFrame, digits: int) -> tuple[float, str, int] | None:
-    """The last copy of the mix in the order (finish time, key, epoch): one row to the driver each time."""
+def _end(timed: DataFrame) -> tuple[float, str, int] | None:
+    """The last copy of the mix in the order (finish time, key, epoch).
+
+    The driver gets the sums of a histogram's bins; the bin in which the budget ends is cut
+    into bins again, by time and, where all its times are one, by the digits of the key.
+    """
     copies = timed.where("finish is not null").select("size", "key", F.posexplode("finish").alias("e", "t"))
-    bins = 1024 if digits <= 2 else 8192
-    binned = copies.where(F.col("t") <= 64).withColumn("bin", F.floor(F.col("t") * bins))
-    sums = binned.groupBy("bin").agg(F.sum("size").alias("n"))
-    total = timed.agg(F.sum("size")).first()[0] or 0
-    running = sums.withColumn("upto", F.sum("n").over(Window.orderBy("bin")))
-    full = running.where(F.col("upto") <= total).agg(F.max("bin"), F.max("upto")).first()
-    over = running.where(F.col("upto") > total).agg(F.min("bin")).first()[0]
-    rest = total - (full[1] or 0)
-    if over is not None:
-        edge = binned.where(F.col("bin") == over).withColumn("upto", F.sum("size").over(Window.orderBy("t", "key", "e"))).where(F.col("upto") <= rest)
-        found = edge.agg(F.max(F.struct("t", "key", "e"))).first()[0]
-        if found is not None:
-            return tuple(found)
-    if full[0] is None:
+    rest = timed.agg(F.sum("size")).first()[0] or 0
+    low, high = copies.agg(F.min("t"), F.max("t")).first()
+    if low is None:
         return None
-    return tuple(binned.where(F.col("bin") == full[0]).agg(F.max(F.struct("t", "key", "e"))).first()[0])
+    last = None  # the last copy before the bin at hand
+    here, digits = copies, 0
+    order = F.struct("t", "key", "e")
+    while True:
+        if digits:
+            bin_of = F.conv(F.substring("key", 1, digits), 16, 10).cast("decimal(38,0)") if digits <= 15 else F.col("key")
+        else:
+            bin_of = F.floor((F.col("t") - low) / (high - low) * BINS) if high > low else F.lit(0).cast("long")
+        bins = here.groupBy(bin_of.alias("bin")).agg(F.sum("size").alias("size"), F.count("*").alias("many"), F.min("t").alias("low"), F.max("t").alias("high"), F.max(order).alias("last"), F.min("key").alias("key"))
+        over = None
+        for b in sorted(bins.collect(), key=lambda b: b.bin):
+            if b["size"] > rest:
+                over = b
+                break
+            rest, last = rest - b["size"], tuple(b["last"])
+        if over is None:
+            return last
+        if digits:
+            here = here.where(F.substring("key", 1, digits) == over.key[:digits])
+        else:
+            here = here.where(F.col("t").between(over.low, over.high))
+        if over.many <= FEW or digits >= 15:
+            break
+        digits, low, high = (digits + 3 if over.low == over.high else 0), over.low, over.high
+    # rows that are equal in all three count as one
+    few = here.groupBy("t", "key", "e").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(Window.orderBy("t", "key", "e")))
+    found = few.where(F.col("upto") <= rest).agg(F.max(order)).first()[0]
+    return tuple(found) if found is not None else last
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    kept = queue(docs, weights, epochs, seed).where("copies > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), F.col("copies").alias("__c")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count() == F.col("__n"))
-    return docs.join(kept, same).withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__c")))).drop("__d", "__s", "__n", "__c", "__e")
+    """The mix itself: each document as often as it is taken, with the columns of docs, in the order of finish times over all partitions."""
+    timed = _timed(docs, weights, epochs, seed)
+    own_id, own_source, copies, copy = (fresh(docs, n) for n in ("mix_id", "mix_source", "copies", "copy"))
+    taken, _ = written(timed.select(F.col("doc_id").alias(own_id), F.col("source").alias(own_source), _taken(timed).alias(copies)).where(F.size(copies) > 0).distinct(), "taken")
+    end = taken.agg(F.max(F.array_max(copies)["t"])).first()[0]
+    every = docs.join(taken, F.col("doc_id").eqNullSafe(F.col(own_id)) & F.col("source").eqNullSafe(F.col(own_source))).withColumn(copy, F.explode(copies))
+    spans = max(shuffle_width(docs), math.ceil(planned_bytes(docs) / SPAN_BYTES))
+    span = F.least(F.lit(spans - 1), F.floor(F.col(copy)["t"] / F.lit(end or 1.0) * F.lit(spans))).cast("int")
+    return every.withColumn(copies, span).repartitionById(spans, copies).sortWithinPartitions(copy).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""
