@@ -301,3 +301,25 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) ->
     own = fresh(docs, "lost")
     found = join_components(docs, percent, words).where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct()
     return docs.join(found, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+
+
+SQL = r"""
+with recursive t as (
+  select row_number() over () as row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select row_no, doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as g from t
+), e as (
+  select row_no, unnest(g) as x from s where doc_id is not null
+), o as (
+  select a.row_no as i, b.row_no as j, count(*) as n_both from e a join e b on a.x = b.x and a.row_no < b.row_no group by 1, 2
+), l as (
+  select distinct p.doc_id as a, q.doc_id as b from o join s p on p.row_no = i join s q on q.row_no = j where 100 * n_both >= 80 * (len(p.g) + len(q.g) - n_both)
+), both_ways as (
+  select a, b from l union select b, a from l
+), reach as (
+  select a as node, a as seen from both_ways union select node, b from reach join both_ways on seen = a
+), c as (
+  select node, min(seen) as component_id from reach group by node
+)
+select doc_id, cast(len(g) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id from s left join c on node = doc_id
+"""

@@ -67,9 +67,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op1_suffix_dedup": repeats.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op4_exact_topk": topk.SQL,
     "op5_mix_sources": mixing.SQL,
+    "op6_ngram_jaccard": jaccard.SQL,
     "op7_chat_format": chat.SQL,
     "op8_license_scan": licenses.SQL,
 }

@@ -489,3 +489,27 @@ def _bound(fn, **how):
 
     run.__name__ = fn.__name__
     return run
+
+
+SQL = r"""
+with d as (
+  select row_number() over () as row_no, doc_id, coalesce(doc_id, 9223372036854775807) as k, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents
+), w as (
+  select row_no, k, s, substring(h, 2 * s + 1, 100) as x from (select row_no, k, h, unnest(range(0, n - 49)) as s from d where n >= 50)
+), m as (
+  select x, min(k) as k from w group by x
+), r as (
+  select row_no, s, case when s <= lag(s) over (partition by row_no order by s) + 50 then 0 else 1 end as new from w join m using (x) where m.k < w.k
+), i as (
+  select row_no, s, sum(new) over (partition by row_no order by s) as run from r
+), runs as (
+  select row_no, run, min(s) as a, max(s) + 50 as b from i group by 1, 2
+), g as (
+  select row_no, a, b, coalesce(lag(b) over (partition by row_no order by a), 0) as z from runs
+), p as (
+  select row_no, sum(b - a) as n_removed, count(*) as n_spans, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' order by a) as head, max(b) as last from g join d using (row_no) group by 1
+)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when n_spans is null then h else head || substring(h, 2 * last + 1) end)) as kept_sha256
+from d left join p using (row_no)
+"""

@@ -262,23 +262,89 @@ def test_topk(spark):
         expected |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
     assert set(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == expected
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0 and topk.top_k(df, F.col("vec_id") < 0).count() == 0
-    huge = spark.createDataFrame([(0, [1e12, 1e12]), (1, [1e12, 1.0]), (2, [-1e12, 0.0])], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in topk.top_k(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [1, 2]
+    # longer than 63 bits: an error, not another result
+    for huge in ([1e17, 1.0], [1e12, 1e12]):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(spark.createDataFrame([(0, huge), (1, huge)], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    wide = spark.createDataFrame([(0, [1e6, 1e6]), (1, [2e6, 1.0]), (2, [-2e6, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(wide, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 1024**2 * (2 * 10**12 + 10**6)), (2, -(1024**2) * 2 * 10**12)]
+
+
+def test_topk_prunes_pairs(spark):
+    """Lengths differ much, so most levels never meet; results stay those of all pairs."""
+    rng = np.random.default_rng(2)
+    data = [(i, (rng.normal(size=6) * 2.0 ** rng.integers(-6, 6)).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    whole = np.floor(np.array([v for _, v in data]) * 1024).astype(np.int64)
+    expected = {}
+    for q in range(0, 1500, 50):
+        scores = whole @ whole[q]
+        expected[q] = [(int(scores[i]), i) for i in sorted(set(range(1500)) - {q}, key=lambda i: (-scores[i], i))[:10]]
+    got: dict = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, block=20, part=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == expected
 
 
 # --- 5
 
 
-def test_mixing(spark, docs, empty):
+def mixed_by_force(data, weights=(5, 2, 1), epochs=3):
+    """(finish time, key, copy, doc_id) of the taken copies, in order; data: (doc_id, source, size), ids and sources differ."""
+    names = sorted({s for _, s, _ in data}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, x, n in data if x == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, total = {}, float(sum(size.values()))
+    while len(target) < len(names):
+        level = (total - sum(target.values())) / sum(w for s, w in weight.items() if s not in target)
+        full = [s for s in names if s not in target and level * weight[s] > epochs * size[s]]
+        target |= {s: float(epochs * size[s]) for s in full} or {s: level * weight[s] for s in names if s not in target}
+    copies = []
+    for s in names:
+        done = 0
+        for key, i, n in sorted((hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest(), i, n) for i, x, n in data if x == s):
+            done += n
+            copies += [((e * size[s] + done) / target[s], key, e, i, n) for e in range(epochs)] if target[s] else []
+    out, used = [], 0
+    for c in sorted(copies):
+        used += c[4]
+        if used > total:
+            break
+        out.append(c)
+    return out
+
+
+def test_mixing(spark, docs, empty, monkeypatch):
     q = mixing.queue(docs).collect()
     assert len(q) == len(rows()) and all(0 <= r.taken <= 3 * r.size and r.taken == r.copies * r.size for r in q)
     assert sorted(q, key=str) == sorted(mixing.queue(docs.repartition(3)).collect(), key=str)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in q)
     assert mixing.queue(empty).count() == 0 and mixing.mix(empty).count() == 0
-    big = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 4)).alias("source"))
+    assert mixing.mix(docs.where("text is null or text = ''")).count() == 0
+    data = [(i, None if i % 3 == 0 else f"s{i % 4}", i % 7 * (i % 50 == 0) + i % 5) for i in range(3000)]
+    big = spark.createDataFrame([(i, "w " * n, s) for i, s, n in data], "doc_id long, text string, source string")
+    expected = mixed_by_force(data)
+    for few in (10_000, 100, 1):
+        monkeypatch.setattr(mixing, "FEW", few)
+        monkeypatch.setattr(mixing, "BINS", 4096 if few > 1 else 3)
+        # in the order of finish times, over all partitions
+        assert [r.doc_id for r in mixing.mix(big).collect()] == [c[3] for c in expected]
     sums = mixing.queue(big).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) <= 30 for r in sums)
+    # one id for all rows: all copies of a source finish at once
+    same = big.select(F.lit(7).cast("long").alias("doc_id"), "text", F.lit("one").alias("source"))
+    monkeypatch.setattr(mixing, "FEW", 1)
+    assert {r.copies for r in mixing.queue(same).collect()} == {1}
+
+
+def test_clashing_columns(spark):
+    """Columns by the names that operators give to their own."""
+    names = ["mix_id", "mix_source", "copies", "copy", "lost", "lost_", "row", "key", "h", "bin", "level", "part", "block"]
+    d = spark.createDataFrame([(i, BASE + f" x{i // 2}", "s", *range(len(names))) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    for out in (jaccard.one_of_each(d), mixing.mix(d), decontaminate.keep_clean(d, spark.createDataFrame([(1, "none of it")], "item_id int, text string")), toxicity.keep_clean(d, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))):
+        assert out.columns == d.columns and out.count() > 0
+    assert mixing.queue(d).count() == licenses.scan(d).count() == lm.score(d).count() == tokens.token_index(d).count() == repeats.remove_repeats(d).count() == jaccard.join_components(d).count() == 6
 
 
 # --- 6
