@@ -344,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[dict[
     return unpacked(row.parameters), min(0.49, row.share)
 
 
-def _groups(offsets: np.ndarray, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     at, n = 0, len(offsets) - 1
     while at < n:
         end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1))
