@@ -3,6 +3,11 @@
 Toxic documents go; one document of each group of near copies stays; documents with
 benchmark passages go; sources are mixed to their target weights (a document can be taken
 up to three times); the rest becomes token files, whose index is the result.
+
+Every stage takes nulls in any column, empty and very long texts, repeated rows, empty tables and extra columns as
+its operator says.  In short: a null text is an empty one, which is neither toxic nor a copy nor contaminated, and has
+no words to mix, so that the mix leaves it out; a document without an id is never a near copy; of rows
+with one id each is judged by its own text, but near copies are judged by the id; all stages but the last keep all columns.
 """
 
 from __future__ import annotations

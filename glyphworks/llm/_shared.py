@@ -6,12 +6,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder, as in tests.
+#: Used only where the session names no folder and driver and executors are one process, as in tests.
 LOCAL_DIR = "file:///tmp/checkpoints/glyphworks"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DIR
+    """The folder that the session names in spark.checkpoint.dir; on a cluster there has to be one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return LOCAL_DIR
+    raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -13,7 +13,8 @@ two-character code, so codes are undone one by one, the backslash last.
 
 Nulls: null texts and roles are empty, rows with a null conv_id form one
 conversation, a null turn comes first.  Turns of the same number are ordered by
-role and text.  A conversation is one value, so it must fit into a row.
+role and text, and repeated rows are turns of their own.  A conversation is one value, so it must fit into a row,
+however long its texts are.  An empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -107,7 +108,10 @@ def format_conversations(conversations: DataFrame, loss_role: str = LOSS_ROLE) -
 
     c = c.withColumn("f0", rendered(lambda t: never)).withColumn("ok0", same(F.col("f0")))
     c = c.withColumn("f1", F.when(F.col("ok0"), F.col("f0")).otherwise(rendered(conflicts))).withColumn("ok1", F.col("ok0") | same(F.col("f1")))
-    c = c.withColumn("formatted", F.when(F.col("ok1"), F.col("f1")).otherwise(rendered(lambda t: always)))
+    # the last level is parsed too: what cannot be read back is an error, not a result
+    c = c.withColumn("f2", F.when(~F.col("ok1"), rendered(lambda t: always)))
+    lost = F.raise_error(F.lit("a conversation cannot be read back from its text")).cast("string")
+    c = c.withColumn("formatted", F.when(F.col("ok1"), F.col("f1")).when(same(F.col("f2")), F.col("f2")).otherwise(lost))
     c = c.withColumn("level", F.when(F.col("ok0"), 0).when(F.col("ok1"), 1).otherwise(2))
     c = c.withColumn("blocks", parse_blocks(F.col("formatted")))
     mask = F.transform("blocks", lambda b: _mask_of(b, parse_turn(b), loss_role))

@@ -1,4 +1,8 @@
-"""Connected components of links, by alternating star contractions."""
+"""Connected components of links, by alternating star contractions.
+
+Links with a null end and links of a node with itself are none; repeated links and both directions of one count once.
+An empty table gives no rows.
+"""
 
 from __future__ import annotations
 

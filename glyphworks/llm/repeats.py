@@ -19,7 +19,8 @@ only suffixes that start at anchors need sorting.  The steps are
 
 Matches never cross documents.  Nulls: a null text is empty; a null doc_id is
 larger than every other id, and rows of the same doc_id never remove from each
-other.  An empty table gives an empty result.
+other, nor do repeated rows.  A very long text is one row of one piece.  An empty table gives an empty
+result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import spark_rows, sql_rows, tables  # noqa: E402
 
 from glyphworks.llm import chat, decontaminate, jaccard, licenses, lm, mixing, queries, rans, repeats, tokens, topk, toxicity  # noqa: E402
+from glyphworks.llm._shingles import token_hashes  # noqa: E402
 from glyphworks.llm.components import components  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, piece int, key string, size long"
@@ -548,6 +549,64 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.keep_clean(docs, y).columns == docs.columns and toxicity.score(empty, y.limit(0)).count() == 0
 
 
+def plain_odds(p, words):
+    """Log-odds of a window, word by word and number by number, as the network is written down."""
+    def sig(x):
+        return 1 / (1 + math.exp(-x))
+
+    h, u64 = toxicity.HIDDEN, (1 << 64) - 1
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & u64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & u64
+        return x ^ (x >> 31)
+
+    k3, k4 = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 0x27D4EB2F165667C5
+    inputs = []
+    for word in words:
+        hashes, _ = token_hashes(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        marked = [1, *word, 2]
+        grams = []
+        for j in range(len(marked) - 2):
+            three = sum(c * k for c, k in zip(marked[j : j + 3], k3, strict=True))
+            grams.append(mixed(three & u64))
+            if j + 3 < len(marked):
+                grams.append(mixed((three + marked[j + 3] * k4) & u64))
+        rows_of = [p["gram"][g % toxicity.TABLE] for g in grams]
+        inputs.append([*p["word"][int(hashes[0]) % toxicity.TABLE].tolist(), *(sum(float(r[i]) for r in rows_of) / len(rows_of) for i in range(toxicity.WIDTH))])
+    states = {}
+    for d, sequence in (("f", inputs), ("b", inputs[::-1])):
+        state, out = [0.0] * h, []
+        for x in sequence:
+            a = [sum(x[i] * float(p[f"x{d}"][i, j]) for i in range(len(x))) + float(p[f"c{d}"][j]) for j in range(3 * h)]
+            b = [sum(state[i] * float(p[f"u{d}"][i, j]) for i in range(h)) for j in range(3 * h)]
+            z, r = ([sig(a[j] + b[j]) for j in range(g * h, g * h + h)] for g in (0, 1))
+            n = [math.tanh(a[2 * h + j] + r[j] * b[2 * h + j]) for j in range(h)]
+            state = [n[j] + z[j] * (state[j] - n[j]) for j in range(h)]
+            out.append(state)
+        states[d] = out if d == "f" else out[::-1]
+    both = [f + b for f, b in zip(states["f"], states["b"], strict=True)]
+    weight = [math.exp(sum(s * float(v) for s, v in zip(x, p["v"], strict=True))) for x in both]
+    pooled = [sum(w * x[j] for w, x in zip(weight, both, strict=True)) / sum(weight) for j in range(2 * h)]
+    return sum(s * float(o) for s, o in zip(pooled, p["out"], strict=True)) + float(p["bias"][0])
+
+
+def test_network_by_hand():
+    """Scores of texts against the plain network, over all windows."""
+    rng = np.random.default_rng(3)
+    net = toxicity.Network()
+    net.p = {k: (v + rng.normal(size=v.shape) * 0.3).astype(np.float32) for k, v in net.p.items()}
+    texts = ["river stone", "a", "", "one two three " * 30, " ".join(f"w{i}" for i in range(64)), " ".join(f"v{i}" for i in range(97))]
+    data = "".join(texts).encode()
+    got = net.score_texts(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), 0.25)
+    for text, score in zip(texts, got, strict=True):
+        words = text.encode().split()
+        windows = [words[s : s + 64] for s in range(0, max(1, len(words) - 32), 32)] if words else []
+        assert len(windows) == (max(0, -(-(len(words) - 64) // 32)) + 1 if words else 0)
+        expected = max((1 / (1 + math.exp(-plain_odds(net.p, w))) for w in windows), default=0.25)
+        assert math.isclose(score, expected, rel_tol=1e-3), text[:20]
+
+
 def test_gradients():
     """Against finite differences."""
     data = b"aa bb cc dd ee ff gg"
@@ -577,6 +636,45 @@ def test_gradients():
 # --- pipeline
 
 
+def test_pipeline_on_odd_tables(spark, docs, empty, tmp_path):
+    """Each stage takes what the one before may give: nulls, empty and long texts, ties, repeats, clashing columns, and nothing at all."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 0, 1), (None, 1, 1), (2, None, None), (5, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/a/labels.parquet")
+    spark.createDataFrame([("7", BASE), (None, "x"), ("8", None)], "item_id string, text string").write.parquet(f"file://{tmp_path}/a/benchmark.parquet")
+    for name, kinds in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], kinds).write.parquet(f"file://{tmp_path}/b/{name}.parquet")
+    long = spark.createDataFrame([(900, "long " * 150_000, None, "src0", 1, 1, "k", 9)], DOCS)
+    for sf_dir in (f"file://{tmp_path}/a", f"file://{tmp_path}/b"):
+        for table in (docs.union(long), empty):
+            for name, stage in pipeline.STAGES:
+                out = stage(spark, table, sf_dir)
+                n = out.count()
+                assert n == 0 if table is empty else n > 0, name
+                if name != "token output":
+                    assert out.columns == table.columns
+    clean = dict(pipeline.STAGES)["decontamination"](spark, docs, f"file://{tmp_path}/a")
+    items = [r for r in spark.read.parquet(f"file://{tmp_path}/a/benchmark.parquet").collect() if r.item_id]
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in clean.collect()} == contaminated(docs.collect(), items) == {0, 1, 2, 10, 11, None}
+
+
+def test_long_texts(spark):
+    """A text of some megabytes among short ones."""
+    word = "abcdefghi "
+    d = spark.createDataFrame([(1, word * 300_000 + "tail one"), (2, word * 300_000 + "tail two"), (3, "short text"), (4, "x" * 2_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove_repeats(d, texts=False).collect()}
+    assert got[1].n_removed == 0 and got[2].n_bytes == 3_000_008 and got[2].n_removed >= 3_000_000 and got[4].n_removed == 0
+    groups = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(d).collect()}
+    assert groups == {1: (3, 1), 2: (3, 2), 3: (1, 3), 4: (1, 4)}
+    assert {r.doc_id: r["size"] for r in mixing.queue(d.withColumn("source", F.lit("s"))).collect()} == {1: 300_002, 2: 300_002, 3: 2, 4: 1}
+    assert {r.doc_id: r.n_bytes for r in lm.score(d).collect()} == {1: 3_000_008, 2: 3_000_008, 3: 10, 4: 2_000_000}
+    scored = toxicity.score(d, spark.createDataFrame([(1, 0), (3, 1)], "doc_id long, toxic int")).collect()
+    assert len(scored) == 4 and all(0 <= r.score <= 1 for r in scored)
+    ids = {r.doc_id: r for r in tokens.token_index(d).collect()}
+    assert len(ids) == 4 and ids[1].n_tokens > 300_000
+    turns = spark.createDataFrame([(1, 0, "user", word * 100_000), (1, 1, "assistant", "# " * 100_000)], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(turns)).first().loss_text == "# " * 100_000
+
+
 def contaminated(docs, items):
     """By a search for every window in every text."""
     fold = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)})))
