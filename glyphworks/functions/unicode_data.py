@@ -25,14 +25,12 @@ CONTROL_NAMES = {
     0x00: "NULL", 0x07: "ALERT", 0x08: "BACKSPACE", 0x09: "CHARACTER TABULATION", 0x0A: "LINE FEED", 0x0B: "LINE TABULATION", 0x0C: "FORM FEED",
     0x0D: "CARRIAGE RETURN", 0x1B: "ESCAPE", 0x7F: "DELETE", 0x85: "NEXT LINE",
 }
-# Letters of other scripts that look like ASCII letters, code point to letter.
-CONFUSABLE_CYRILLIC = {
-    0x0410: "A", 0x0412: "B", 0x0421: "C", 0x0415: "E", 0x041D: "H", 0x0406: "I", 0x0408: "J", 0x041A: "K", 0x041C: "M", 0x041E: "O", 0x0420: "P", 0x0405: "S", 0x0422: "T",
-    0x0425: "X", 0x04AE: "Y", 0x0430: "a", 0x0441: "c", 0x0435: "e", 0x0456: "i", 0x0458: "j", 0x043E: "o", 0x0440: "p", 0x0455: "s", 0x0445: "x", 0x0443: "y", 0x04CF: "l",
-}
-CONFUSABLE_GREEK = {
+# Greek and Cyrillic letters that look like ASCII letters, code point to letter.
+CONFUSABLES = {
     0x0391: "A", 0x0392: "B", 0x0395: "E", 0x0396: "Z", 0x0397: "H", 0x0399: "I", 0x039A: "K", 0x039C: "M", 0x039D: "N", 0x039F: "O", 0x03A1: "P", 0x03A4: "T", 0x03A5: "Y",
-    0x03A7: "X", 0x03B1: "a", 0x03B5: "e", 0x03B9: "i", 0x03BA: "k", 0x03BD: "v", 0x03BF: "o", 0x03C1: "p", 0x03C4: "t", 0x03C5: "u", 0x03C7: "x",
+    0x03A7: "X", 0x03B1: "a", 0x03B5: "e", 0x03B9: "i", 0x03BA: "k", 0x03BD: "v", 0x03BF: "o", 0x03C1: "p", 0x03C4: "t", 0x03C5: "u", 0x03C7: "x", 0x0405: "S", 0x0406: "I",
+    0x0408: "J", 0x0410: "A", 0x0412: "B", 0x0415: "E", 0x041A: "K", 0x041C: "M", 0x041D: "H", 0x041E: "O", 0x0420: "P", 0x0421: "C", 0x0422: "T", 0x0425: "X", 0x0430: "a",
+    0x0435: "e", 0x043E: "o", 0x0440: "p", 0x0441: "c", 0x0443: "y", 0x0445: "x", 0x0455: "s", 0x0456: "i", 0x0458: "j", 0x04AE: "Y", 0x04CF: "l",
 }
 # Sets of scripts that are usual together.
 EXPECTED_COMBINATIONS = [{"Han", "Hiragana", "Katakana"}, {"Han", "Bopomofo"}, {"Han", "Hangul"}]
@@ -55,9 +53,6 @@ HANGUL = {"L": [(0x1100, 0x115F), (0xA960, 0xA97C)], "V": [(0x1160, 0x11A7), (0x
 REGIONAL = (0x1F1E6, 0x1F1FF)
 # end of fixed values
 
-CONFUSABLES = CONFUSABLE_CYRILLIC | CONFUSABLE_GREEK
-
-
 def _within(cp: int, ranges: list[tuple[int, int]]) -> bool:
     return any(a <= cp <= b for a, b in ranges)
 
