@@ -95,6 +95,17 @@ def rows_of(table: pa.Table, *by: str) -> list[tuple]:
     return list(zip(*(table.column(k).to_pylist() for k in ("piece", "bucket", "kind", "blob")), strict=True))
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system, so that a worker between tasks holds little."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finalizer of 64-bit hashes (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphworks.llm import rans
-from glyphworks.llm._pieces import planned_bytes, shuffle_width
+from glyphworks.llm._pieces import give_back, planned_bytes, shuffle_width
 from glyphworks.llm._shared import new_path, remove, written
 
 END_ID = 0
@@ -203,6 +203,7 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(packed, pa.binary()), n], names=["doc_id", "ids", "n"])
                 at += len(part)
         encoder.trim()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKEN_SCHEMA)
 

@@ -30,18 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import cuts, mix, spans, texts_of, thinned
+from glyphworks.llm._pieces import cuts, give_back, mix, spans, texts_of, thinned
 from glyphworks.llm._shingles import token_hashes
 from glyphworks.llm.decontaminate import FOLD
 
 FOLDS, WINDOW, STRIDE = 5, 64, 32
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1500, 3000, 20_000
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1000, 3000, 20_000
 HIDDEN, WIDTH, TABLE = 8, 12, 1 << 17
 EPOCHS, BATCH, RATE, SEED = (4, 3, 3), 128, 0.02, 7
 #: Texts of the sample in which a word or gram must be seen.
 SEEN = 3
 _WORDS_ONLY = np.frombuffer(FOLD, np.uint8)
-_LANES = 2048
+_LANES, _WORDS_AT_ONCE = 2048, 1 << 16
 
 
 class Words:
@@ -63,7 +63,14 @@ class Words:
         distinct, first, self.index = np.unique(hashes, return_index=True, return_inverse=True)
         self.word = (distinct & np.uint64(TABLE - 1)).astype(np.int64)
         at, size = at[first], size[first]
-        # the distinct words, each between two marks
+        parts = [self._spelled(data, at[i : i + _WORDS_AT_ONCE], size[i : i + _WORDS_AT_ONCE]) for i in range(0, len(at), _WORDS_AT_ONCE)]
+        self.grams = np.concatenate([np.zeros(0, np.int64), *parts])
+        self.n_grams = 2 * size - 1
+        self.gram_start = np.cumsum(self.n_grams) - self.n_grams
+
+    @staticmethod
+    def _spelled(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The hashed grams of some words, each between two marks."""
         padded = size + 2
         start = np.cumsum(padded) - padded
         flat = np.full(int(padded.sum()) + 3, 1, np.uint64)
@@ -77,9 +84,7 @@ class Words:
         keep[start + padded - 2] = keep[start + padded - 1] = False
         keep[start + padded - 3, 1] = False
         keep[int(padded.sum()) :] = False
-        self.grams = grams[keep].astype(np.int64)
-        self.n_grams = 2 * size - 1
-        self.gram_start = np.cumsum(self.n_grams) - self.n_grams
+        return grams[keep].astype(np.int64)
 
     def windows(self, window: int = WINDOW, stride: int = STRIDE):
         """Text, first token and length of each window; texts without words have none."""
@@ -336,6 +341,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[dict[
         held.sort(key=lambda r: (-r[0], r[1], r[2]))
         y = np.array([r[0] for r in held], np.int64)
         blob = packed(fit([r[2] for r in held], y).p)
+        held.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([float(y.mean()) if len(y) else 0.0]), pa.array([blob], pa.binary())], names=["share", "parameters"])
 
     row = sample(docs, labels, folds).coalesce(1).mapInArrow(learn, "share double, parameters binary").first()
@@ -368,6 +375,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
         for b in batches:
             s = _scores(b.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        give_back()
 
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == 0).alias("held_out"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -382,5 +390,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFr
         for b in batches:
             text = b.column("text").cast(pa.binary()).fill_null(b"")
             yield b.filter(pa.array(_scores(text, shared.value) < 0.5))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
