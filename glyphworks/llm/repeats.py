@@ -31,8 +31,11 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, grouped, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
+from glyphworks.llm._shared import written
 
 LENGTH, KMER = 50, 20
 _CHUNK = 1 << 15
@@ -455,10 +458,15 @@ def _list_groups(table: pa.Table, length: int, kmer: int) -> pa.Table:
     context, doc, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (context, doc, place))
     by = np.argsort(context, kind="stable")
     edge = np.searchsorted(context[by], np.arange(len(left) + 1))
+    # a context that stands in two places is a class of its own: it counts twice
+    every = np.concatenate([np.arange(len(left)), np.flatnonzero(np.diff(edge) > 1)])
     out: dict[str, list] = {"group": [], "n_bytes": [], "doc_id": [], "start": []}
-    for members, i, after in classes(left, right, lens, length, kmer):
-        text = left[members[0], :i][::-1].tobytes() + right[members[0], :after].tobytes()
+    for members, i, after in classes(left[every], right[every], lens[every], length, kmer):
+        members = np.unique(every[members])
         own = by[spans(edge[members], edge[members + 1] - edge[members])]
+        if (doc[own] == doc[own[0]]).all():
+            continue
+        text = left[members[0], :i][::-1].tobytes() + right[members[0], :after].tobytes()
         out["group"] += [hashlib.sha256(text).hexdigest()] * len(own)
         out["n_bytes"] += [i + after] * len(own)
         out["doc_id"] += [None if d == np.iinfo(np.int64).max else d for d in doc[own].tolist()]
@@ -466,12 +474,29 @@ def _list_groups(table: pa.Table, length: int, kmer: int) -> pa.Table:
     return pa.table({k: pa.array(v, pa.string() if k == "group" else pa.int64()) for k, v in out.items()})
 
 
+def _chained(parts: DataFrame) -> DataFrame:
+    """Overlapping parts that stand at the same distances from each other in all their places, as one repeat."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
+    first = parts.groupBy("group").agg(F.min(place).alias("first")).select(F.xxhash64("group").alias("h"), F.col("group").alias("own"), "first")
+    shifted = parts.withColumn("h", F.xxhash64("group")).join(first, "h").where(F.col("group") == F.col("own"))
+    mark = F.xxhash64("doc_id", F.col("start") - F.col("first.start"))
+    shape = [F.count("*").alias("many"), F.bit_xor(mark).alias("x"), F.sum(mark.cast("decimal(38,0)")).alias("y")]
+    groups = shifted.groupBy("group", "n_bytes", "first").agg(*shape).select("group", "n_bytes", "first.*", "many", "x", "y")
+    same = Window.partitionBy("many", "x", "y", "none", "doc_id")
+    reach = F.max(F.col("start") + F.col("n_bytes")).over(same.orderBy("start", "group").rowsBetween(Window.unboundedPreceding, -1))
+    groups = groups.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("chain", F.sum("new").over(same.orderBy("start", "group")))
+    chains = groups.groupBy("many", "x", "y", "none", "doc_id", "chain").agg(F.min_by("group", F.struct("start", "group")).alias("lead"), (F.max(F.col("start") + F.col("n_bytes")) - F.min("start")).alias("bytes"))
+    chains = chains.select(F.xxhash64("lead").alias("h"), "lead", "bytes")
+    met = parts.withColumn("h", F.xxhash64("group")).join(chains, "h").where(F.col("group") == F.col("lead"))
+    return met.select(F.sha2(F.concat_ws(":", "group", F.col("bytes").cast("string")), 256).alias("group"), F.col("bytes").alias("n_bytes"), "doc_id", "start")
+
+
 def repeat_groups(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> DataFrame:
     """Maximal repeats of ``length`` bytes or more with all their occurrences: group, n_bytes, doc_id, start in bytes.
 
-    group is the digest of the repeated bytes.  Repeats are followed as far as the
-    windows of one anchor reach (2 * length - kmer bytes); a longer passage is a
-    chain of overlapping groups.
+    Each bucket finds the repeats around one anchor, as far as its windows reach (2 * length - kmer bytes).
+    Parts with the same occurrences are then chained, so a longer passage is one group.  Where a stretch
+    of a passage longer than that reach also stands elsewhere, the stretch is a group with more occurrences, and the passage goes on from its end.
     """
     pieces, buckets = piece_count(docs), bucket_count(docs)
     dealt = in_pieces(docs, pieces)
@@ -479,7 +504,8 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> Da
     listed = grouped(dealt, "piece", pieces).applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
     shared = grouped(listed, "bucket", buckets).applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
     sent = grouped(dealt, "piece", pieces).cogroup(grouped(shared, "piece", pieces)).applyInArrow(lambda x, y: _send_occurrences(x, y, **how), BLOB_SCHEMA)
-    return grouped(sent, "bucket", buckets).applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
+    parts = grouped(sent, "bucket", buckets).applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
+    return _chained(written(parts.distinct(), "repeat-parts")[0])
 
 
 def _bound(fn, **how):
