@@ -267,13 +267,13 @@ def code_point_inspection(spark, sf_dir):
 _BAD_BYTES = {0: ("E282", 0), 1: ("E228A1", 1), 2: ("FF", 0), 3: ("EDA080", 1), 4: ("F09F98", 0), 5: ("F09F2880", 2)}
 
 
-@_query(f"select doc_id, doc_id % 7 = 6 as valid_utf8, cast(case doc_id % 7 {' '.join(f'when {k} then strlen(text) + {n}' for k, (_, n) in _BAD_BYTES.items())} end as bigint) as first_invalid_byte from documents")
+@_query(f"select doc_id, doc_id % 7 = 6 as valid_utf8, cast(case doc_id % 7 {' '.join(f'when {k} then strlen(text) + {n}' for k, (_, n) in _BAD_BYTES.items())} end as bigint) as first_invalid_byte, doc_id % 7 = 3 as has_surrogate from documents")
 def utf8_validation(spark, sf_dir):
     data = F.col("text").cast("binary")
     for k, (digits, _) in _BAD_BYTES.items():
         data = F.when(F.col("doc_id") % 7 == k, F.concat(F.col("text").cast("binary"), F.unhex(F.lit(digits)))).otherwise(data)
     d = _table(spark, sf_dir, "documents").select("doc_id", data.alias("b"))
-    return d.select("doc_id", F.is_valid_utf8(F.col("b").cast("string")).alias("valid_utf8"), invalid_byte(F.col("b")).alias("first_invalid_byte"))
+    return d.select("doc_id", F.is_valid_utf8(F.col("b").cast("string")).alias("valid_utf8"), invalid_byte(F.col("b")).alias("first_invalid_byte"), T.has_surrogate(F.col("b")).alias("has_surrogate"))
 
 
 @_query("""select doc_id, doc_id % 4 = 0 as canonical from documents""")
