@@ -11,7 +11,10 @@ hot source nor a hot group of copies lands in one task.
 
 from __future__ import annotations
 
+import gc
 import math
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +98,19 @@ def rows_of(table: pa.Table, *by: str) -> list[tuple]:
     return list(zip(*(table.column(k).to_pylist() for k in ("piece", "bucket", "kind", "blob")), strict=True))
 
 
+def kept_in_worker() -> dict:
+    """What operators keep in a Python worker between their tasks."""
+    return sys.modules.setdefault("_glyphworks_worker", types.ModuleType("_glyphworks_worker")).__dict__.setdefault("kept", {})
+
+
+def clear_worker() -> None:
+    """Drops what another operator has kept in this worker."""
+    if kept_in_worker():
+        kept_in_worker().clear()
+        gc.collect()
+        give_back()
+
+
 def give_back() -> None:
     """Returns what this worker has freed to the system, so that a worker between tasks holds little."""
     import ctypes

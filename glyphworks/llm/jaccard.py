@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, grouped, mix, piece_count, rows_of, texts_of
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, grouped, mix, piece_count, rows_of, texts_of
 from glyphworks.llm._shared import fresh, written
 from glyphworks.llm._shingles import WORDS, shingle_sets
 from glyphworks.llm.components import components
@@ -70,6 +70,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null if empty) and its parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for batch in batches:
             n, digest, maps = [], [], []
             for s in shingle_sets(*texts_of(batch.column("text")), words):

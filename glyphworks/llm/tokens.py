@@ -21,12 +21,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glyphworks.llm import rans
-from glyphworks.llm._pieces import give_back, planned_bytes, shuffle_width
+from glyphworks.llm._pieces import give_back, kept_in_worker, planned_bytes, shuffle_width
 from glyphworks.llm._shared import new_path, remove, written
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
-#: Parts of texts that a worker remembers during a task, about 200 bytes each; an eighth of them, the first to come, between tasks.
+#: Parts of texts that a worker remembers, about 200 bytes each, until another operator runs there.
 MEMORY = 600_000
 #: White space other than the space and the line feed, and runs that a cut at single spaces would break.
 _RARE = re.compile(r"[^\S \n]")
@@ -78,14 +75,6 @@ class _Parts(dict):
                 self.recent[part] = found
         return found
 
-    def trim(self, keep: int) -> None:
-        """Forgets all but the parts that came first, which are the frequent ones."""
-        self.recent.clear()
-        if len(self) > keep:
-            kept = dict(islice(self.items(), keep))
-            self.clear()
-            self.update(kept)
-
 
 def splits_at_spaces(setup: dict) -> bool:
     """Whether the shortcuts of Encoder hold: byte-level BPE alone, with its own pattern, and nothing before or after it."""
@@ -125,10 +114,6 @@ class Encoder:
         self.heads = _Parts(lambda p: self._part(p, ""), memory // 8)
         self.parts = _Parts(lambda p: self._part(p, " "), memory)
 
-    def trim(self) -> None:
-        for parts in (self.heads, self.parts):
-            parts.trim(parts.room // 8)
-
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
@@ -168,9 +153,8 @@ class Encoder:
 
 
 def worker_encoder(path: str) -> Encoder:
-    """One encoder for each Python worker, whatever tasks it runs."""
-    home = sys.modules.setdefault("_glyphworks_worker", types.ModuleType("_glyphworks_worker"))
-    kept = home.__dict__.setdefault("encoders", {})
+    """One encoder for each Python worker, whatever tasks of tokenize() it runs."""
+    kept = kept_in_worker().setdefault("encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
@@ -202,7 +186,6 @@ def tokenize(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
                 n = pa.array([len(p) // encoder.kind.itemsize for p in packed], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), pa.array(packed, pa.binary()), n], names=["doc_id", "ids", "n"])
                 at += len(part)
-        encoder.trim()
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, TOKEN_SCHEMA)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import cuts, give_back, mix, spans, texts_of, thinned
+from glyphworks.llm._pieces import clear_worker, cuts, give_back, mix, spans, texts_of, thinned
 from glyphworks.llm._shingles import token_hashes
 from glyphworks.llm.decontaminate import FOLD
 
@@ -337,6 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[dict[
     """Parameters, and the score of a text without words.  One task on an executor sees the sample; the driver gets the parameters only."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         held = [r for b in batches for r in zip(b.column("toxic").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True)]
         held.sort(key=lambda r: (-r[0], r[1], r[2]))
         y = np.array([r[0] for r in held], np.int64)
@@ -372,6 +373,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for b in batches:
             s = _scores(b.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
@@ -387,6 +389,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         for b in batches:
             text = b.column("text").cast(pa.binary()).fill_null(b"")
             yield b.filter(pa.array(_scores(text, shared.value) < 0.5))
