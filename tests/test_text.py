@@ -392,3 +392,13 @@ def test_quota_stream(spark, tmp_path):
     q = quota.stream_admissions(stream, limit=4).writeStream.format("memory").queryName("admitted").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/cp").start()
     q.awaitTermination(120)
     assert sorted((r.event_id, r.admitted) for r in spark.table("admitted").collect()) == [(i, i < 4) for i in range(6)]
+
+
+def test_findings_of_a_stream(spark, tmp_path):
+    """Reviews are projections: a stream of texts gives a stream of findings."""
+    many(spark, ["a" + ZWSP, "plain", "Ã¤" + SHY]).write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("id long, text string").parquet(f"file://{tmp_path}/in")
+    for name, rows, expected in (("hidden_stream", hidden.findings(stream), {(0, "hidden.zero_width_space"), (2, "hidden.soft_hyphen")}), ("mojibake_stream", mojibake.findings(stream), {(2, "mojibake.utf8_bytes_as_legacy_text")})):
+        q = rows.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/{name}").start()
+        q.awaitTermination(120)
+        assert {(r.id, r.rule) for r in spark.table(name).collect()} == expected
