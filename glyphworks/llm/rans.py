@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BITS = 20
-LANES, EVERY = 1024, 128
+LANES, EVERY = 2048, 64
 _LOW = np.uint64(1 << 31)
 _HEAD = "<4sIQQIIII"
 MAGIC = b"RNS1"

@@ -110,6 +110,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.alphabet = byte_alphabet()
+        self.packed = [self._pack([i]) for i in range(self.vocabulary)] if self.quick else []
         self.marks = {m: self._any(m) for m in [*_MARKS, "\n"]} if self.quick else {}
         self.heads = _Parts(lambda p: self._part(p, ""), memory // 8)
         self.parts = _Parts(lambda p: self._part(p, " "), memory)
@@ -126,11 +127,13 @@ class Encoder:
         Letters alone are one pre-token, which the tokenizer's model encodes; a mark after letters and a line feed
         between other characters are pre-tokens of their own.
         """
-        if part.isalpha() and max(part) < _LATIN:
-            spelled = ("Ġ" * len(lead)) + part if part.isascii() else (lead + part).encode().decode("latin-1").translate(self.alphabet)
-            return self._pack([t.id for t in self.model.tokenize(spelled)])
-        if part[-1:] in self.marks and part[:-1].isalpha() and max(part[:-1]) < _LATIN and part[-1] != "\n":
-            return (self.parts if lead else self.heads)[part[:-1]] + self.marks[part[-1]]
+        plain = part.isascii()
+        if part.isalpha() and (plain or max(part) < _LATIN):
+            spelled = ("Ġ" if lead else "") + part if plain else (lead + part).encode().decode("latin-1").translate(self.alphabet)
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
+        word = part[:-1]
+        if word.isalpha() and part[-1] in _MARKS and (plain or max(word) < _LATIN):
+            return (self.parts if lead else self.heads)[word] + self.marks[part[-1]]
         if "\n" in part and part[0] != "\n" and part[-1] != "\n" and "\n\n" not in part and not _RARE.search(part) and " " not in part:
             first, *rest = part.split("\n")
             return (self.parts if lead else self.heads)[first] + b"".join(self.marks["\n"] + self.heads[r] for r in rest)
