@@ -38,7 +38,7 @@ from glyphworks.llm._shared import new_path, remove, written
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
 #: Parts of texts that a worker remembers, about 200 bytes each, until another operator runs there.
-MEMORY = 600_000
+MEMORY = 1_000_000
 #: White space other than the space and the line feed, and runs that a cut at single spaces would break.
 _RARE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
