@@ -26,6 +26,7 @@ result.  Other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -34,21 +35,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, cuts, grouped, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, give_back, grouped, ids_of, in_pieces, mix, piece_count, rows_of, spans, texts_of
 from glyphworks.llm._shared import written
 
 LENGTH, KMER = 50, 20
 _CHUNK = 1 << 15
+#: Contexts that are laid out at a time.
+_ROWS = 1 << 14
 _ODD32 = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0x2545F491, 0x94D049BB, 0xBF58476D], np.uint32)
 
 
-def _owners(data: np.ndarray, length: int, kmer: int) -> np.ndarray:
-    """For each start of a window, the start of the anchor that it owns (windows across documents included)."""
+def _owners(data: np.ndarray, length: int, kmer: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each start of a window, the start of the anchor that it owns (windows across documents included), some at a time with the first of these."""
     n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
     width = length - kmer + 1
-    out = np.empty(n, np.int64)
     ramp = np.arange(_CHUNK + width, dtype=np.uint64)
     low = np.uint64(0xFFFFFFFF)
     for at in range(0, n, _CHUNK):
@@ -71,25 +71,31 @@ def _owners(data: np.ndarray, length: int, kmer: int) -> np.ndarray:
             step *= 2
         if width > step:
             low_of = np.minimum(low_of[: len(low_of) - (width - step)], low_of[width - step :])
-        out[at : at + m] = (low_of[:m] & low).astype(np.int64) + at
-    return out
+        yield at, (low_of[:m] & low).astype(np.int64) + at
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray, length: int, kmer: int):
     """Runs of windows that own the same anchor: document, anchor, first and last window."""
-    owner = _owners(data, length, kmer)
-    if not len(owner):
+    n = len(data) - length + 1
+    if n <= 0:
         return (np.zeros(0, np.int64),) * 4
-    new = np.empty(len(owner), bool)
-    new[0] = True
-    np.not_equal(owner[1:], owner[:-1], out=new[1:])
-    new[offsets[:-1][offsets[:-1] < len(owner)]] = True
-    first = np.flatnonzero(new)
+    firsts, anchors, before = [], [], -1
+    for at, owner in _owners(data, length, kmer):
+        new = np.empty(len(owner), bool)
+        new[0] = owner[0] != before
+        np.not_equal(owner[1:], owner[:-1], out=new[1:])
+        a, b = np.searchsorted(offsets[:-1], (at, at + len(owner)))
+        new[offsets[a:b] - at] = True
+        here = np.flatnonzero(new)
+        firsts.append(here + at)
+        anchors.append(owner[here])
+        before = owner[-1]
+    first, anchor = np.concatenate(firsts), np.concatenate(anchors)
+    del firsts, anchors
     doc = np.searchsorted(offsets, first, "right") - 1
-    last = np.minimum(np.append(first[1:], len(owner)) - 1, offsets[doc + 1] - length)
+    last = np.minimum(np.append(first[1:], n) - 1, offsets[doc + 1] - length)
     keep = first <= last
-    first = first[keep]
-    return doc[keep], owner[first], first, last[keep]
+    return doc[keep], anchor[keep], first[keep], last[keep]
 
 
 def _hashes(data: np.ndarray, at: np.ndarray, kmer: int) -> np.ndarray:
@@ -121,6 +127,10 @@ class _Anchors:
         # runs are in the order of rows, so the ends of a group show whether it has two rows
         self.multi = self.doc[order[start]] != self.doc[order[last]] if len(order) else np.zeros(0, bool)
 
+    def forget_anchors(self) -> None:
+        """Leaves ids and texts only."""
+        del self.doc, self.anchor, self.first, self.last, self.values, self.bucket, self.inverse, self.multi
+
 
 def _five(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)[:, :5]
@@ -158,7 +168,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 class _Contexts:
     """The distinct contexts of a piece's shared anchors, in the order in which they are sent."""
 
-    def __init__(self, a: _Anchors, answers: list[tuple], length: int, kmer: int):
+    def __init__(self, a: _Anchors, answers: list[tuple], length: int, kmer: int, bytes_too: bool = True):
         per = np.bincount(a.bucket) if len(a.bucket) else np.zeros(0, np.int64)
         shared = np.zeros(len(a.values), bool)
         at = np.cumsum(per) - per
@@ -168,15 +178,15 @@ class _Contexts:
         p, first, last = a.anchor[self.run], a.first[self.run], a.last[self.run]
         left, right = p - first, last + length - p
         side = length - kmer
-        j = np.arange(side)
+        # places to the left and to the right of the anchor; the ends of the piece stand for what is beyond them
+        step = np.concatenate([-1 - np.arange(side), np.arange(length)])
         grid = np.full((len(p), _row(length, kmer)), 255, np.uint8)
-        take = p[:, None] - 1 - j
-        inside = j < left[:, None]
-        grid[:, :side][inside] = a.data[take[inside]]
-        j = np.arange(length)
-        take = p[:, None] + j
-        inside = j < right[:, None]
-        grid[:, side : side + length][inside] = a.data[take[inside]]
+        for s in range(0, len(p), _ROWS):
+            e = s + _ROWS
+            used = np.concatenate([np.arange(side) < left[s:e, None], np.arange(length) < right[s:e, None]], 1)
+            body = a.data.take(p[s:e, None] + step, mode="clip")
+            body[~used] = 255
+            grid[s:e, : side + length] = body
         grid[:, -2], grid[:, -1] = left, right
         h = np.zeros(len(p), np.uint64)
         for c in range(grid.shape[1] // 8):
@@ -184,12 +194,17 @@ class _Contexts:
         bucket = a.bucket[a.inverse[self.run]] if len(self.run) else np.zeros(0, np.int64)
         doc = a.ids[a.doc[self.run]]
         order = np.lexsort((doc, h, bucket))
-        g, hb, bb = grid[order], h[order], bucket[order]
+        hb, bb = h[order], bucket[order]
         new = np.ones(len(order), bool)
         if len(order):
-            new[1:] = (hb[1:] != hb[:-1]) | (bb[1:] != bb[:-1]) | (g[1:] != g[:-1]).any(1)
+            new[1:] = (hb[1:] != hb[:-1]) | (bb[1:] != bb[:-1])
+            for s in range(1, len(order), _ROWS):
+                e = min(s + _ROWS, len(order))
+                g = grid[order[s - 1 : e]]
+                new[s:e] |= (g[1:] != g[:-1]).any(1)
         start = np.flatnonzero(new)
-        self.grid, self.bucket, self.least = g[start], bb[start], doc[order[start]]
+        # only those who send contexts need the bytes
+        self.grid, self.bucket, self.least = grid[order[start]] if bytes_too else None, bb[start], doc[order[start]]
         self.of_run = np.empty(len(order), np.int64)
         self.of_run[order] = np.cumsum(new) - 1
 
@@ -331,27 +346,43 @@ def _remove(table: pa.Table, answers: pa.Table, buckets: int, length: int, kmer:
     out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept", "span_starts", "span_ends") if texts else ()))}
     if a is not None:
         rows = rows_of(answers, "bucket")
-        c = _Contexts(a, [r for r in rows if r[2] == 0], length, kmer)
+        c = _Contexts(a, [r for r in rows if r[2] == 0], length, kmer, bytes_too=False)
         wide = 4 if length - kmer < 32 else 8
         bits = np.concatenate([np.zeros(0, f"<u{wide}"), *(np.frombuffer(b, f"<u{wide}") for *_, k, b in rows if k == 1)]).astype(np.uint64)
+        del rows
         n = len(a.data)
-        edge = np.zeros(n + 1, np.int64)
+        short = np.int32 if n < 1 << 30 else np.int64
+        edge = np.zeros(n + 1, short)  # removed passages that begin here, less those that end
+
+        def add(starts: np.ndarray, ends: np.ndarray) -> None:
+            for at, by in ((starts, 1), (ends, -1)):
+                at = np.sort(at)
+                first = cuts(at)
+                edge[at[first]] += by * np.diff(np.append(first, len(at))).astype(short)
+
         if len(c.run):
             p, first, last = a.anchor[c.run], a.first[c.run], a.last[c.run]
             later = a.ids[a.doc[c.run]] > c.least[c.of_run]
-            edge += np.bincount(first[later], minlength=n + 1) - np.bincount(last[later] + length, minlength=n + 1)
+            add(first[later], last[later] + length)
             p, own = p[~later], bits[c.of_run[~later]]
             p, own = p[own > 0], own[own > 0]
-            starts = [p[(own >> np.uint64(i)) & np.uint64(1) == 1] - i for i in range(length - kmer + 1)]
-            starts = np.concatenate(starts)
-            edge += np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
-        gone = np.cumsum(edge[:-1]) > 0
+            for i in range(length - kmer + 1):
+                starts = p[(own >> np.uint64(i)) & np.uint64(1) == 1] - i
+                add(starts, starts + length)
+            del p, first, last, later, own
+        del c, bits
+        a.forget_anchors()
+        np.cumsum(edge, out=edge)
+        gone = edge[:-1] > 0
+        del edge
         flip = gone.copy()
         flip[1:] &= ~gone[:-1]
         heads = a.offsets[:-1]
         heads = heads[heads < n]
         flip[heads] = gone[heads]
-        total, starts = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(flip))
+        total, starts = np.zeros(n + 1, short), np.zeros(n + 1, short)
+        np.cumsum(gone, out=total[1:])
+        np.cumsum(flip, out=starts[1:])
         ids = table.column("doc_id").to_pylist()
         for d, (s, e) in enumerate(zip(a.offsets[:-1].tolist(), a.offsets[1:].tolist(), strict=True)):
             k = int(total[e] - total[s])
@@ -387,7 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, text
     how = {"buckets": buckets, "length": length, "kmer": kmer}
 
     def by_piece(fn, other: DataFrame, schema: str) -> DataFrame:
-        return grouped(dealt, "piece", pieces).cogroup(grouped(other, "piece", pieces)).applyInArrow(lambda x, y: fn(x, y), schema)
+        return grouped(dealt, "piece", pieces).cogroup(grouped(other, "piece", pieces)).applyInArrow(_freed(lambda x, y: fn(x, y)), schema)
 
     listed = grouped(dealt, "piece", pieces).applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
     shared = grouped(listed, "bucket", buckets).applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
@@ -503,7 +534,7 @@ def repeat_groups(docs: DataFrame, length: int = LENGTH, kmer: int = KMER) -> Da
     how = {"buckets": buckets, "length": length, "kmer": kmer}
     listed = grouped(dealt, "piece", pieces).applyInArrow(_bound(_list_anchors, **how), BLOB_SCHEMA)
     shared = grouped(listed, "bucket", buckets).applyInArrow(_bound(_shared_anchors), BLOB_SCHEMA)
-    sent = grouped(dealt, "piece", pieces).cogroup(grouped(shared, "piece", pieces)).applyInArrow(lambda x, y: _send_occurrences(x, y, **how), BLOB_SCHEMA)
+    sent = grouped(dealt, "piece", pieces).cogroup(grouped(shared, "piece", pieces)).applyInArrow(_freed(lambda x, y: _send_occurrences(x, y, **how)), BLOB_SCHEMA)
     parts = grouped(sent, "bucket", buckets).applyInArrow(_bound(_list_groups, length=length, kmer=kmer), "group string, n_bytes long, doc_id long, start long")
     return _chained(written(parts.distinct(), "repeat-parts")[0])
 
@@ -512,12 +543,27 @@ def _bound(fn, **how):
     """A plain one-argument function, as applyInArrow wants, that plans show by its own name."""
 
     def run(table: pa.Table) -> pa.Table:
-        return fn(table, **how)
+        clear_worker()
+        out = fn(table, **how)
+        give_back()
+        return out
 
     run.__name__ = fn.__name__
     return run
 
 
+def _freed(fn):
+    """The same for two arguments."""
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        clear_worker()
+        out = fn(x, y)
+        give_back()
+        return out
+
+    return run
+
+
 SQL = r"""
 with d as (
   select row_number() over () as row_no, doc_id, coalesce(doc_id, 9223372036854775807) as k, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents

@@ -5,10 +5,12 @@ import math
 import os
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import spark_rows, sql_rows, tables  # noqa: E402
 
 from glyphworks.llm import chat, decontaminate, jaccard, licenses, lm, mixing, queries, rans, repeats, tokens, topk, toxicity  # noqa: E402
+from glyphworks.llm._pieces import kept_in_worker  # noqa: E402
 from glyphworks.llm._shingles import token_hashes  # noqa: E402
 from glyphworks.llm.components import components  # noqa: E402
 
@@ -109,6 +112,27 @@ def test_repeat_groups(spark, docs, empty):
     assert end <= got and {x[1:] for x in whole} <= {x[1:] for x in got} and max(n for n, *_ in got) >= 600
 
 
+def test_repeats_in_little_memory():
+    """A megabyte in which everything is repeated takes at most 40 MB of arrays in each pass, and what is kept in a worker goes."""
+    data = np.random.default_rng(5).integers(97, 123, 1 << 19, dtype=np.uint8).tobytes()
+    texts = [data[: 1 << 18], data[: 1 << 18], data[1 << 18 :], data[1 << 18 :]]
+    t = pa.table({"piece": pa.array([0] * 4, pa.int32()), "doc_id": pa.array(range(4), pa.int64()), "text": pa.array(texts, pa.binary())})
+    how = {"length": 50, "kmer": 20}
+    listed = repeats._list_anchors(t, buckets=1, **how)
+    shared = repeats._shared_anchors(listed)
+    passes = [lambda: repeats._list_anchors(t, buckets=1, **how), lambda: repeats._send_contexts(t, shared, buckets=1, **how)]
+    answers = pa.concat_tables([shared, repeats._answer_contexts(passes[1](), **how)])
+    for run in [*passes, lambda: repeats._remove(t, answers, buckets=1, texts=False, **how)]:
+        tracemalloc.start()
+        out = run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20
+    assert out.column("n_removed").to_pylist() == [0, 1 << 18, 0, 1 << 18]
+    kept_in_worker()["of another operator"] = b"x"
+    assert repeats._bound(repeats._list_anchors, buckets=1, **how)(t).equals(listed) and not kept_in_worker()
+
+
 def test_intervals():
     lcp = np.array([0, 3, 3, 1, 4, 2])
     assert sorted(map(tuple, repeats.intervals(lcp, 2).tolist())) == [(2, 1, 3, 5), (3, 1, 0, 2), (4, 2, 3, 4)]
