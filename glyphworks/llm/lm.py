@@ -6,9 +6,10 @@ documents.  Each bit is predicted from hashed contexts - the last 5 symbols,
 the word so far, and that with the word before it - whose counts of zeros and ones come from
 all training documents.  The predictions' log-odds are added with weights gated by
 the place in the code and by which of the first and the last context are known.  The weights are
-learned online: in each block of a text they start from those that suit a bounded sample of
-training documents (as seen by counts without that sample), and after each CHUNK of symbols
-every gate's weights go down the gradient of the cost of its bits.
+learned online: in each block of a text they start from those that suit all training documents, each
+half of these as seen by the counts of the other half, and after each CHUNK of symbols
+every gate's weights go down the gradient of the cost of its bits.  The first weights are fitted to
+the number of bits for each gate and each LEVEL steps of log-odds, summed over all training documents.
 
 score is the log10 probability of the text; bits per byte follow from it.  The weights
 of a chunk depend on earlier chunks only, so all texts share a probability of one.
@@ -33,12 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, give_back, grouped, in_pieces, mix, piece_count, rows_of, texts_of, thinned
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, give_back, grouped, in_pieces, mix, piece_count, rows_of, texts_of
 from glyphworks.llm._shingles import token_hashes
 
 FOLDS = 10
-#: Documents, and bytes of each, to which the first weights are fitted.
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 8000
 #: The contexts: numbers of last symbols, then the word so far, then that with the word before it.
 LENGTHS, ORDERS = (5,), 3
 MIN_BITS, MAX_BITS = 16, 22
@@ -47,6 +46,13 @@ BLOCK, CHUNK, RATE = 4096, 96, 0.02
 _END, _SYMBOLS, _PAD, _DEPTH = 256, 257, 5, 8
 _GATES = 4 * _DEPTH
 _STEP = 12.0 / 127
+#: Steps of log-odds that count as one level when the first weights are fitted; the level of each signed byte, and the steps of each level.
+LEVEL = 8
+_LEVEL_OF = np.rint(np.arange(256).astype(np.uint8).view(np.int8) / LEVEL).astype(np.int32)
+_LEVEL_OF -= _LEVEL_OF.min()
+_LEVELS = int(_LEVEL_OF.max()) + 1
+_CELLS = _LEVELS**ORDERS * _GATES * 2
+_CELL_OF = [_LEVEL_OF.astype(np.intp) * (_LEVELS ** (ORDERS - 1 - k) * _GATES * 2) for k in range(ORDERS)]
 #: Log-odds that a mix can reach.
 _LIMIT = 16
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -60,7 +66,11 @@ _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 
 
 def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+    return _crc(doc_id) % folds
+
+
+def _crc(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
 class Codes:
@@ -207,9 +217,9 @@ def count_bits(data: np.ndarray, offsets: np.ndarray, codes: Codes, into: np.nda
             key.sort()
             start = cuts(key)
             key, many = key[start], np.diff(np.append(start, len(key)))
-            owner, where, _ = _spelled((key >> np.uint64(9)) & np.uint64(511), (key & np.uint64(511)).astype(np.int64), codes)
-            slot = (((key >> np.uint64(18)).astype(np.uint32).take(owner) + codes.node_hash.take(where)) >> shift) << np.uint32(1)
-            np.add.at(into[order], slot | codes.bits.take(where), many.astype(into.dtype).take(owner))
+            _, where, n = _spelled((key >> np.uint64(9)) & np.uint64(511), (key & np.uint64(511)).astype(np.int64), codes)
+            slot = ((np.repeat((key >> np.uint64(18)).astype(np.uint32), n) + codes.node_hash.take(where)) >> shift) << np.uint32(1)
+            np.add.at(into[order], (slot | codes.bits.take(where)).astype(np.intp), np.repeat(many.astype(into.dtype), n))
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -252,30 +262,43 @@ class Model:
         node, shift = self.codes.node_hash.take(where), _shift(self.tables.shape[1])
         x = np.empty((ORDERS, len(owner)), np.int8)
         for k, c in enumerate(contexts):
-            self.tables[k].take((c.take(owner) + node) >> shift, out=x[k], mode="clip")
+            self.tables[k].take((np.repeat(c, n) + node) >> shift, out=x[k], mode="clip")
         gate = self.codes.depth.take(where) * np.uint8(4) + (x[0] != 0) * np.uint8(2) + (x[2] != 0)
         return x, self.codes.bits.take(where), gate, owner, n
 
-    def fit(self, data: np.ndarray, offsets: np.ndarray, rounds: int = 8) -> None:
-        """The first weights by Newton steps over the given texts."""
-        parts = []
+    def spread(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """How many bits of the given texts have each level of log-odds in each context, each gate and each value."""
+        total = np.zeros(_CELLS, np.int64)
         for a, b in _groups(offsets, 1 << 18):
             x, y, gate, _, _ = self._features(*_streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            parts.append((x, y, gate))
-        if not parts:
-            return
-        x, y, gate = (np.concatenate([p[i] for p in parts], -1) for i in range(3))
+            cell = ((gate << np.uint8(1)) | y).astype(np.intp)
+            for own, cells in zip(x, _CELL_OF, strict=True):
+                cell += cells.take(own.view(np.uint8))
+            np.add.at(total, cell, 1)
+        return total
+
+    def fit(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        """The first weights for the given texts."""
+        self.fit_spread(self.spread(data, offsets))
+
+    def fit_spread(self, counts: np.ndarray, rounds: int = 8) -> None:
+        """The first weights by Newton steps, from the numbers of bits."""
+        counts = counts.reshape(-1, _GATES, 2)
+        level = np.clip((np.arange(_LEVELS) - _LEVELS // 2) * LEVEL, -127, 127) * _STEP
+        grid = np.stack(np.meshgrid(*[level] * ORDERS, indexing="ij")).reshape(ORDERS, -1)
         for g in range(_GATES):
-            on = np.flatnonzero(gate == g)
-            if len(on) < 50:
+            on = np.flatnonzero(counts[:, g].any(1))
+            zeros, ones = counts[on, g].astype(np.float64).T
+            many = zeros + ones
+            if many.sum() < 50:
                 continue
-            a, b = x[:, on] * _STEP, y[on]
+            a = grid[:, on]
             w = self.weights[:, g] / _STEP
             prior = w.copy()
             for _ in range(rounds):
                 p = 1 / (1 + np.exp(-np.clip(w @ a, -30, 30)))
-                hess = (a * (p * (1 - p))) @ a.T + np.eye(len(w))
-                w += np.clip(np.linalg.solve(hess, a @ (b - p) - (w - prior)), -1, 1)
+                hess = (a * (p * (1 - p) * many)) @ a.T + np.eye(len(w))
+                w += np.clip(np.linalg.solve(hess, a @ (ones - p * many) - (w - prior)), -1, 1)
             self.weights[:, g] = w * _STEP
 
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -329,27 +352,43 @@ class Model:
 
 
 def _texts(docs: DataFrame, folds: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold_of(F.col("doc_id"), folds).alias("fold"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    """Texts with their fold and, by another part of the same hash, their half."""
+    crc = _crc(F.col("doc_id"))
+    half = F.floor(crc / folds) % 2
+    return docs.select(fold_of(F.col("doc_id"), folds).alias("fold"), half.cast("int").alias("half"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
 def _summed(df: DataFrame, fn, size: int) -> np.ndarray:
-    """Sums of an array of a fixed size over all tasks, in two steps."""
+    """Sums of an array of a fixed size over all tasks, in two steps; fn takes the texts of a half and the number of that half."""
+
+    def row(total: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at.astype(np.int32), total[at])], names=["at", "c"])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_worker()
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += fn(*texts_of(b.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["c"])
+            half = b.column("half").to_numpy()
+            for k in range(2):
+                own = np.flatnonzero(half == k)
+                if len(own):
+                    total += fn(*texts_of(b.column("text").take(pa.array(own))), k)
+        yield row(total)
+        del total
+        give_back()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column("c"):
-                total += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["c"])
+            for at, c in zip(b.column("at"), b.column("c"), strict=True):
+                total[np.frombuffer(at.as_buffer(), np.int32)] += np.frombuffer(c.as_buffer(), np.int64)
+        yield row(total)
 
-    rows = df.select("text").mapInArrow(parts, "c binary").repartition(4).mapInArrow(add, "c binary").collect()
-    return sum((np.frombuffer(r.c, np.int64) for r in rows), np.zeros(size, np.int64))
+    out = np.zeros(size, np.int64)
+    for r in df.select("half", "text").mapInArrow(parts, "at binary, c binary").repartition(4).mapInArrow(add, "at binary, c binary").collect():
+        out[np.frombuffer(r.at, np.int32)] += np.frombuffer(r.c, np.int64)
+    return out
 
 
 SLICES = 64
@@ -371,70 +410,74 @@ def _add_sparse(blob: bytes, into: np.ndarray) -> None:
     into[on] += used
 
 
-def _tables(train: DataFrame, codes, slots: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds of all slots from the counts of every training text, and the same without those of apart: tasks send their counts, reducers add them as they come."""
+def _tables(train: DataFrame, codes, slots: int) -> np.ndarray:
+    """Log-odds of all slots from the counts of every training text, and of each half: tasks send their counts, reducers add them as they come."""
     width = slots // SLICES
-    shared = train.sparkSession.sparkContext.broadcast([_sparse(c) for c in apart.reshape(ORDERS * SLICES, 2 * width)])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        clear_worker()
-        total, held = np.zeros((ORDERS, 2 * slots), np.uint32), 0
-        own_codes = _revived(Codes, codes.value)
 
-        def send(total: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k, own in enumerate(total.reshape(ORDERS * SLICES, 2 * width)):
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_sparse(own)], pa.binary())], names=["part", "blob"])
-
-        for b in batches:
-            data, offsets = texts_of(b.column("text"))
-            if held + len(data) + len(offsets) > FLUSH:
-                yield from send(total)
-                total[:], held = 0, 0
-            count_bits(data, offsets, own_codes, total)
-            held += len(data) + len(offsets)
-        yield from send(total)
-        del total
-        give_back()
+    def counted(half: int) -> DataFrame:
+        # a task counts one half, so that a worker holds one table
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            clear_worker()
+            total, held = np.zeros((ORDERS, 2 * slots), np.uint32), 0
+            own_codes = _revived(Codes, codes.value)
+
+            def send(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+                for k, own in enumerate(total.reshape(ORDERS * SLICES, 2 * width)):
+                    if own.any():
+                        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([half], pa.int32()), pa.array([_sparse(own)], pa.binary())], names=["part", "half", "blob"])
+
+            for b in batches:
+                data, offsets = texts_of(b.column("text"))
+                if held + len(data) + len(offsets) > FLUSH:
+                    yield from send(total)
+                    total[:], held = 0, 0
+                count_bits(data, offsets, own_codes, total)
+                held += len(data) + len(offsets)
+            yield from send(total)
+            del total
+            give_back()
+
+        return train.where(F.col("half") == half).select("text").mapInArrow(count, "part int, half int, blob binary")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                _add_sparse(blob, sums.setdefault(part, np.zeros(2 * width, np.int64)))
+            for part, half, blob in zip(*(b.column(k).to_pylist() for k in ("part", "half", "blob")), strict=True):
+                _add_sparse(blob, sums.setdefault(part, np.zeros((2, 2 * width), np.int64))[half])
         for part, own in sums.items():
-            without = np.zeros(2 * width, np.int64)
-            _add_sparse(shared.value[part], without)
-            blobs_of = [log_odds(x.reshape(-1, 2)).tobytes() for x in (own, own - without)]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in blobs_of)], names=["part", "every", "rest"])
+            odds = np.concatenate([log_odds(x.reshape(-1, 2)) for x in (own.sum(0), *own)])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([odds.tobytes()], pa.binary())], names=["part", "odds"])
         sums.clear()
         give_back()
 
-    rows = train.select("text").mapInArrow(count, "part int, blob binary").repartitionById(ORDERS * SLICES, "part").mapInArrow(add, "part int, every binary, rest binary").collect()
-    out = np.zeros((2, ORDERS * SLICES, width), np.int8)
-    for r in rows:
-        out[0, r.part], out[1, r.part] = np.frombuffer(r.every, np.int8), np.frombuffer(r.rest, np.int8)
-    return out[0].reshape(ORDERS, slots), out[1].reshape(ORDERS, slots)
+    out = np.zeros((3, ORDERS * SLICES, width), np.int8)
+    for r in counted(0).unionAll(counted(1)).repartitionById(ORDERS * SLICES, "part").mapInArrow(add, "part int, odds binary").collect():
+        out[:, r.part] = np.frombuffer(r.odds, np.int8).reshape(3, width)
+    return out.reshape(3, ORDERS, slots)
+
+
+def _spread(train: DataFrame, codes, halves: np.ndarray) -> np.ndarray:
+    """The bits of all training texts by level, gate and value, each half by the tables of the other."""
+    shared = train.sparkSession.sparkContext.broadcast(halves)
+
+    def of(data: np.ndarray, offsets: np.ndarray, half: int) -> np.ndarray:
+        return Model(_revived(Codes, codes.value), shared.value[1 - half]).spread(data, offsets)
+
+    out = _summed(train, of, _CELLS)
+    shared.unpersist()
+    return out
 
 
 def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     """A model of all documents outside fold 0."""
     texts = _texts(docs, folds).where("fold <> 0")
-    pairs = _summed(texts, count_pairs, _SYMBOLS * _SYMBOLS).reshape(_SYMBOLS, _SYMBOLS)
+    pairs = _summed(texts, lambda data, offsets, half: count_pairs(data, offsets), _SYMBOLS * _SYMBOLS).reshape(_SYMBOLS, _SYMBOLS)
     codes = Codes(pairs.astype(np.float64))
     slots = 1 << min(MAX_BITS, max(MIN_BITS, int(pairs.sum()).bit_length()))
-    key = F.xxhash64("doc_id", F.octet_length("text"))
-    eligible = texts.where((F.col("fold") == 1) & (F.octet_length("text") <= SAMPLE_BYTES)).select("text", key.alias("key"))
-    sample = [bytes(r.text) for r in thinned(eligible, F.col("key"), SAMPLE_DOCS).orderBy("key", "text").limit(SAMPLE_DOCS).collect()]
-    data, offsets = np.frombuffer(b"".join(sample), np.uint8), np.cumsum([0, *map(len, sample)])
-    # the sample is counted like all others; only the tables by which weights are fitted are without it
-    apart = np.zeros((ORDERS, 2 * slots), np.uint32)
-    count_bits(data, offsets, codes, apart)
     shared = docs.sparkSession.sparkContext.broadcast(codes.__dict__)
-    every, rest = _tables(texts, shared, slots, apart)
-    model = Model(codes, rest)
-    model.fit(data, offsets)
-    model.tables = every
+    every, *halves = _tables(texts, shared, slots)
+    model = Model(codes, every.copy())
+    model.fit_spread(_spread(texts, shared, np.stack(halves)))
     return model
 
 

@@ -230,6 +230,36 @@ def test_lm_counts_and_mixing():
         assert math.isclose(total, bits, rel_tol=1e-3, abs_tol=1e-2), (text[:20], total, bits)
 
 
+def test_lm_learns_weights_from_all(spark):
+    """The first weights suit all training texts, long ones and those of every fold too, each half by the counts of the other."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    texts = {i: b" ".join(words[int(k)] for k in rng.zipf(1.3, 2500) % 300) for i in range(24)}
+    folds = {i: divmod(zlib.crc32(str(i).encode()), 10) for i in texts}
+    assert min(map(len, texts.values())) > 8000
+    got = lm.train(spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string").repartition(5))
+    halves = [[t for i, t in texts.items() if folds[i][1] and folds[i][0] % 2 == h] for h in range(2)]
+    packed = [(np.frombuffer(b"".join(ts), np.uint8), np.cumsum([0, *map(len, ts)])) for ts in halves]
+    codes = lm.Codes(sum(lm.count_pairs(*p) for p in packed).reshape(257, 257).astype(float))
+    counts = np.zeros((2, lm.ORDERS, 2 * got.tables.shape[1]), np.uint32)
+    for p, c in zip(packed, counts, strict=True):
+        lm.count_bits(*p, codes, c)
+    every, *own = (lm.Model(codes, lm.log_odds(c.reshape(lm.ORDERS, -1, 2))) for c in (counts.sum(0), *counts))
+    assert (got.tables == every.tables).all()
+    seen = own[1].spread(*packed[0]) + own[0].spread(*packed[1])
+    assert seen.sum() * lm.ORDERS == counts.sum()
+    # a plain count of the levels of one half
+    levels = Counter()
+    for a, b in lm._groups(packed[0][1], 1 << 18):
+        x, y, gate, _, _ = own[1]._features(*lm._streams(packed[0][0][packed[0][1][a] : packed[0][1][b]], packed[0][1][a : b + 1] - packed[0][1][a]))
+        levels.update(zip(*(np.rint(o / lm.LEVEL).astype(int).tolist() for o in x), gate.tolist(), y.tolist(), strict=True))
+    first = own[1].spread(*packed[0]).reshape(*[lm._LEVELS] * lm.ORDERS, lm._GATES, 2)
+    assert first.sum() == sum(levels.values()) and all(first[*(v + lm._LEVELS // 2 for v in k[: lm.ORDERS]), *k[lm.ORDERS :]] == n for k, n in levels.items())
+    unfitted = every.weights.copy()
+    every.fit_spread(seen)
+    assert np.allclose(got.weights, every.weights, rtol=1e-6) and not np.allclose(got.weights, unfitted)
+
+
 def test_lm_counts():
     data = b"abab a"
     codes = lm.Codes(np.ones((257, 257)))
