@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphworks.llm._pieces import clear_worker, cuts, give_back, mix, spans, texts_of, thinned
+from glyphworks.llm._shared import trim_driver
 from glyphworks.llm._shingles import token_hashes
 from glyphworks.llm.decontaminate import FOLD
 
@@ -347,6 +348,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> tuple[dict[
         yield pa.RecordBatch.from_arrays([pa.array([float(y.mean()) if len(y) else 0.0]), pa.array([blob], pa.binary())], names=["share", "parameters"])
 
     row = sample(docs, labels, folds).coalesce(1).mapInArrow(learn, "share double, parameters binary").first()
+    trim_driver(docs.sparkSession)
     if row is None:  # a table without partitions
         return fit([], np.zeros(0, np.int64)).p, 0.0
     return unpacked(row.parameters), min(0.49, row.share)

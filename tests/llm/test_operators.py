@@ -1,13 +1,16 @@
 """Each operator against brute force or SQL, and on odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
+import gc
 import hashlib
 import math
 import os
 import re
 import sys
+import time
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import spark_rows, sql_rows, tables  # noqa: E402
 
-from glyphworks.llm import chat, decontaminate, jaccard, licenses, lm, mixing, queries, rans, repeats, tokens, topk, toxicity  # noqa: E402
+from glyphworks.llm import _shared, chat, decontaminate, jaccard, licenses, lm, mixing, queries, rans, repeats, tokens, topk, toxicity  # noqa: E402
 from glyphworks.llm._pieces import kept_in_worker  # noqa: E402
+from glyphworks.llm._shared import written  # noqa: E402
 from glyphworks.llm._shingles import token_hashes  # noqa: E402
 from glyphworks.llm.components import components  # noqa: E402
 
@@ -698,6 +702,24 @@ def test_gradients():
 # --- pipeline
 
 
+def test_freed_memory_of_the_driver(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) >> 10
+    table = spark.range(10)
+    written(table, "ten")
+    # blocks outside the heap, of which every 20th stays, so that the C library keeps the rest when they are freed
+    some = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(4000)]
+    full, some = held(), some[::20]
+    for _ in range(3):
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.5)
+    monkeypatch.setitem(_shared._trimmed, "at", -_shared.TRIM_S)
+    written(table, "ten")
+    assert full - held() > 150 and len(some) == 200
+
+
 def test_pipeline_on_odd_tables(spark, docs, empty, tmp_path):
     """Each stage takes what the one before may give: nulls, empty and long texts, ties, repeats, clashing columns, and nothing at all."""
     pipeline = pytest.importorskip("corpus_pipeline")
