@@ -52,7 +52,6 @@ _LEVEL_OF = np.rint(np.arange(256).astype(np.uint8).view(np.int8) / LEVEL).astyp
 _LEVEL_OF -= _LEVEL_OF.min()
 _LEVELS = int(_LEVEL_OF.max()) + 1
 _CELLS = _LEVELS**ORDERS * _GATES * 2
-_CELL_OF = [_LEVEL_OF.astype(np.intp) * (_LEVELS ** (ORDERS - 1 - k) * _GATES * 2) for k in range(ORDERS)]
 #: Log-odds that a mix can reach.
 _LIMIT = 16
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -172,11 +171,16 @@ def _contexts(stream: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.n
 
 
 def _spelled(prev: np.ndarray, sym: np.ndarray, codes: Codes):
-    """Bits of the given symbols: for each the place of its symbol, and its place in the code tables."""
+    """Bits of the given symbols: for each the place of its symbol, and its place in the code tables; and the bits of each symbol."""
     pair = prev.astype(np.int64) * _SYMBOLS + sym
     n = codes.length.ravel().take(pair)
-    owner = np.repeat(np.arange(len(pair)), n)
-    where = np.arange(len(owner)) + np.repeat(codes.offset.ravel().take(pair) - (np.cumsum(n) - n), n)
+    ends = np.cumsum(n)
+    # every symbol of a text has a bit or more, so this is np.repeat in a third of its time
+    owner = np.zeros(int(n.sum()), np.intp)
+    owner[ends[:-1]] = 1
+    np.cumsum(owner, out=owner)
+    where = (codes.offset.ravel().take(pair) - (ends - n)).take(owner, mode="clip")
+    where += np.arange(len(owner))
     return owner, where, n
 
 
@@ -202,24 +206,18 @@ def count_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def count_bits(data: np.ndarray, offsets: np.ndarray, codes: Codes, into: np.ndarray) -> None:
     """Adds the zeros and ones of all contexts to into[order, 2 * slot + bit]."""
-    shift = _shift(into.shape[1] // 2)
-    for a, b in _groups(offsets, 1 << 20):
-        keys: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-        for i, j in _groups(offsets[a : b + 1], 1 << 18):
-            i, j = a + i, a + j
-            stream, at, size = _streams(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            pair = (stream[at - 1].astype(np.uint64) << np.uint64(9)) | stream[at]
-            for own, c in zip(keys, _contexts(stream, at, size), strict=True):
-                own.append((c.astype(np.uint64) << np.uint64(18)) | pair)
-        for order, own in enumerate(keys):
-            # equal contexts with equal symbols are spelled once
-            key = np.concatenate(own)
-            key.sort()
-            start = cuts(key)
-            key, many = key[start], np.diff(np.append(start, len(key)))
-            _, where, n = _spelled((key >> np.uint64(9)) & np.uint64(511), (key & np.uint64(511)).astype(np.int64), codes)
-            slot = ((np.repeat((key >> np.uint64(18)).astype(np.uint32), n) + codes.node_hash.take(where)) >> shift) << np.uint32(1)
-            np.add.at(into[order], (slot | codes.bits.take(where)).astype(np.intp), np.repeat(many.astype(into.dtype), n))
+    shift, one = _shift(into.shape[1] // 2), into.dtype.type(1)
+    for a, b in _groups(offsets, 1 << 18):
+        stream, at, size = _streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        owner, where, _ = _spelled(stream[at - 1], stream[at], codes)
+        node, bit = codes.node_hash.take(where), codes.bits.take(where)
+        for own, c in zip(into, _contexts(stream, at, size), strict=True):
+            slot = c.take(owner, mode="clip")
+            slot += node
+            slot >>= shift
+            slot <<= np.uint32(1)
+            slot |= bit
+            np.add.at(own, slot.astype(np.intp), one)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -260,9 +258,12 @@ class Model:
             at, contexts = at[order], [c[order] for c in contexts]
         owner, where, n = _spelled(stream[at - 1], stream[at], self.codes)
         node, shift = self.codes.node_hash.take(where), _shift(self.tables.shape[1])
-        x = np.empty((ORDERS, len(owner)), np.int8)
+        x = np.empty((ORDERS, len(where)), np.int8)
         for k, c in enumerate(contexts):
-            self.tables[k].take((np.repeat(c, n) + node) >> shift, out=x[k], mode="clip")
+            slot = c.take(owner, mode="clip")
+            slot += node
+            slot >>= shift
+            self.tables[k].take(slot, out=x[k], mode="clip")
         gate = self.codes.depth.take(where) * np.uint8(4) + (x[0] != 0) * np.uint8(2) + (x[2] != 0)
         return x, self.codes.bits.take(where), gate, owner, n
 
@@ -271,10 +272,13 @@ class Model:
         total = np.zeros(_CELLS, np.int64)
         for a, b in _groups(offsets, 1 << 18):
             x, y, gate, _, _ = self._features(*_streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            cell = ((gate << np.uint8(1)) | y).astype(np.intp)
-            for own, cells in zip(x, _CELL_OF, strict=True):
-                cell += cells.take(own.view(np.uint8))
-            np.add.at(total, cell, 1)
+            cell = _LEVEL_OF.take(x[0].view(np.uint8), mode="clip")
+            for own in x[1:]:
+                cell *= np.int32(_LEVELS)
+                cell += _LEVEL_OF.take(own.view(np.uint8), mode="clip")
+            cell *= np.int32(2 * _GATES)
+            cell += (gate << np.uint8(1)) | y
+            np.add.at(total, cell.astype(np.intp), 1)
         return total
 
     def fit(self, data: np.ndarray, offsets: np.ndarray) -> None:
@@ -320,7 +324,8 @@ class Model:
         order = np.argsort(chunk, kind="stable")  # chunk by chunk, the lanes in order in each
         lane, chunk = lane[order], chunk[order]
         x, y, gate, owner, n = self._features(stream, at, size, order)
-        own = (lane * _GATES).astype(np.int64).take(owner) + gate
+        own = (lane * _GATES).take(owner, mode="clip")
+        own += gate
         lanes = int(blocks.sum())
         weights = np.tile(self.weights, (1, lanes))
         done = np.cumsum(n)
@@ -332,16 +337,16 @@ class Model:
             j = int(done[e - 1])
             gates, sign = own[i:j], y[i:j].astype(np.float32) * 2 - 1
             steps = x[:, i:j].astype(np.float32)
-            z = weights[0].take(gates) * steps[0]
+            z = weights[0].take(gates, mode="clip") * steps[0]
             for k in range(1, ORDERS):
-                z += weights[k].take(gates) * steps[k]
+                z += weights[k].take(gates, mode="clip") * steps[k]
             np.clip(z, -_LIMIT, _LIMIT, out=z)
             z *= sign
             odds = np.exp(-z)  # of the other bit
             total = odds + 1
             # a symbol's cost is the logarithm of a product, which stays within a double for so many bits
             heads = done[s:e] - n[s:e] - i
-            cost[s:e] = np.log(np.multiply.reduceat(total, heads, dtype=np.float64)) if n[s:e].max() <= 40 else np.add.reduceat(np.log(total), heads, dtype=np.float64)
+            cost[s:e] = np.log(np.multiply.reduceat(total.astype(np.float64), heads)) if n[s:e].max() <= 40 else np.add.reduceat(np.log(total), heads, dtype=np.float64)
             error = sign * odds / total
             for k in range(ORDERS):
                 weights[k] += rate * np.bincount(gates, error * steps[k], weights.shape[1]).astype(np.float32)

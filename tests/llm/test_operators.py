@@ -264,6 +264,21 @@ def test_lm_learns_weights_from_all(spark):
     assert np.allclose(got.weights, every.weights, rtol=1e-6) and not np.allclose(got.weights, unfitted)
 
 
+def test_lm_spells_symbols_once(monkeypatch):
+    rng = np.random.default_rng(1)
+    data, offsets = rng.integers(97, 123, 5000).astype(np.uint8), np.array([0, 2000, 2000, 5000])
+    codes, seen, spelled = lm.Codes(np.ones((257, 257))), [], lm._spelled
+    monkeypatch.setattr(lm, "_spelled", lambda prev, sym, codes: seen.append(len(sym)) or spelled(prev, sym, codes))
+    counts = np.zeros((lm.ORDERS, 2 << 12), np.uint32)
+    lm.count_bits(data, offsets, codes, counts)
+    stream, at, _ = lm._streams(data, offsets)
+    prev, sym = stream[at - 1], stream[at]
+    owner, where, n = spelled(prev, sym, codes)
+    assert sum(seen) == 5003 and (counts.sum(1) == n.sum()).all()
+    assert owner.tolist() == np.repeat(np.arange(5003), n).tolist()
+    assert where.tolist() == [codes.offset[p, s] + k for p, s, m in zip(prev.tolist(), sym.tolist(), n.tolist(), strict=True) for k in range(m)]
+
+
 def test_lm_counts():
     data = b"abab a"
     codes = lm.Codes(np.ones((257, 257)))
