@@ -34,24 +34,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, give_back, grouped, in_pieces, mix, piece_count, rows_of, texts_of
+from glyphworks.llm._pieces import BLOB_SCHEMA, blobs, bucket_count, clear_worker, cuts, give_back, grouped, in_pieces, piece_count, rows_of, texts_of
 from glyphworks.llm._shingles import token_hashes
 
 FOLDS = 10
-#: The contexts: numbers of last symbols, then the word so far, then that with the word before it.
-LENGTHS, ORDERS = (5,), 3
+#: The contexts: so many last symbols, then the word so far, then that with the word before it.
+LENGTH, ORDERS = 5, 3
 MIN_BITS, MAX_BITS = 16, 22
 #: Symbols after which weights start anew, and after which they are updated; the step down the gradient.
 BLOCK, CHUNK, RATE = 4096, 96, 0.02
-_END, _SYMBOLS, _PAD, _DEPTH = 256, 257, 5, 8
+#: Symbols whose contexts are found at a time (or one text), and those whose bits are, so that arrays of bits stay in a core's cache.
+GROUP, PART = 1 << 18, 1 << 15
+_END, _SYMBOLS, _PAD, _DEPTH = 256, 257, LENGTH, 8
 _GATES = 4 * _DEPTH
 _STEP = 12.0 / 127
-#: Steps of log-odds that count as one level when the first weights are fitted; the level of each signed byte, and the steps of each level.
+#: Steps of log-odds that count as one level when the first weights are fitted, and the levels of a signed byte.
 LEVEL = 8
-_LEVEL_OF = np.rint(np.arange(256).astype(np.uint8).view(np.int8) / LEVEL).astype(np.int32)
-_LEVEL_OF -= _LEVEL_OF.min()
-_LEVELS = int(_LEVEL_OF.max()) + 1
+_LEVELS = 2 * round(127 / LEVEL) + 1
 _CELLS = _LEVELS**ORDERS * _GATES * 2
+#: Symbols whose bits are counted in 32 bits at a time; a symbol has fewer than 64 bits.
+_SAFE = 1 << 25
 #: Log-odds that a mix can reach.
 _LIMIT = 16
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -60,7 +62,7 @@ _FOLD[65:91] += 32
 _ALPHABET = np.array([s for s in range(_SYMBOLS) if not 65 <= s <= 90])
 _NO_CODE = np.zeros(0, np.uint8), np.zeros(0, np.int64)
 _C = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)]
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_K = np.uint64(0x9E3779B97F4A7C15)
 _END_TOKEN = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -93,7 +95,9 @@ class Codes:
         self.bits, self.nodes = np.concatenate(bits), np.concatenate(nodes)
         depth = np.arange(len(self.bits)) - np.repeat(self.offset.ravel(), self.length.ravel())
         self.depth = np.minimum(depth, _DEPTH - 1).astype(np.uint8)
-        self.node_hash = (mix(self.nodes.astype(np.uint64) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
+        # inner nodes by weight, the root first: a context's counts of all nodes stand side by side, the common ones in one cache line
+        rank = len(_ALPHABET) - 2 - self.nodes % _SYMBOLS
+        self.node_hash = rank.astype(np.uint32) << _shift(slot_count(int(pairs.sum())))
 
 
 def _huffman(weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,42 +136,63 @@ def _streams(data: np.ndarray, offsets: np.ndarray):
     return stream, np.flatnonzero(sent), lens + 1
 
 
-def _high(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32)
+def _mix32(h: np.ndarray) -> np.ndarray:
+    """A finalizer of 32-bit hashes, in place."""
+    for shift, factor in ((16, _C[0]), (15, _C[1])):
+        h ^= h >> np.uint32(shift)
+        h *= factor
+    h ^= h >> np.uint32(16)
+    return h
 
 
 def _contexts(stream: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Hashes of what precedes each place: of the last symbols, the word so far, and the word before it too."""
-    s = stream.astype(np.uint64)
-    out, packed, held = [], s[:-1].copy(), 1
-    for k, n in enumerate(LENGTHS):
-        for j in range(held, n):  # the first places of the array have _PAD symbols before them, and are not asked for
-            packed[j:] |= s[: -1 - j] << np.uint64(9 * j)
-        held = n
-        out.append(_high(packed * _K[k])[at - 1])
-    letter = (stream > 32) & (stream != _END)
-    first = np.flatnonzero(letter & ~np.concatenate([[False], letter[:-1]]))
-    so_far = np.zeros(len(s), np.uint32)
-    whole = np.zeros(len(first) + 1, np.uint32)  # of each word; the last entry is for no word
+    n, last = len(stream), at - 1
+    # the last symbols are read as one number, an end as an A, which no text has; the first places of the array are not asked for
+    ends = stream == _END
+    padded = np.zeros(n + 7, np.uint8)
+    padded[7:] = stream
+    padded[7:][ends] = 65
+    held = np.ndarray(n, np.uint64, padded, strides=(1,)) >> np.uint64(64 - 8 * LENGTH)
+    held *= _K
+    held >>= np.uint64(32)
+    recent = _mix32(held.astype(np.uint32))
+    letter = stream > 32
+    letter &= ~ends
+    starts = letter.copy()
+    starts[1:] &= ~letter[:-1]
+    first = np.flatnonzero(starts)
+    # before the first word of a text stands an empty one, so that it has no word of another text before it
+    starts[np.cumsum(size + _PAD) - size - _PAD] = True
+    begun = np.cumsum(starts, dtype=np.intp)
+    own = begun.take(first)
+    at_start, base, whole = np.zeros(begun[-1] + 1, np.intp), np.zeros(begun[-1] + 1, np.uint32), np.zeros(begun[-1] + 1, np.uint32)
+    s = stream.astype(np.uint32)
+    so_far = s + np.uint32(1)
+    so_far *= letter
     if len(first):
-        inside = np.flatnonzero(letter)
-        many = np.diff(np.append(np.searchsorted(inside, first), len(inside)))
-        place = np.arange(len(inside)) - np.repeat(np.cumsum(many) - many, many)
-        power = np.multiply.accumulate(np.full(int(many.max()), _C[2], np.uint32))
+        final = letter.copy()
+        final[:-1] &= ~letter[1:]
+        final = np.flatnonzero(final)  # a text begins and ends with an end symbol, so words do too
+        at_start[own] = first
+        place = np.arange(n)
+        place -= at_start.take(begun)
+        power = np.multiply.accumulate(np.full(int((final - first).max()) + 1, _C[2], np.uint32))
+        so_far *= power.take(place, mode="clip")
         # running sums over all letters, less what stood before the word
-        run = np.cumsum((s[inside].astype(np.uint32) + np.uint32(1)) * power[place], dtype=np.uint32)
-        ends = np.cumsum(many)
-        base = np.concatenate([np.zeros(1, np.uint32), run])[ends - many]
-        so_far[inside + 1] = run - np.repeat(base, many)  # a text ends with an end symbol, so there is a next place
-        whole[:-1] = run[ends - 1] - base
-    starts = np.zeros(len(s) + 1, np.int64)
-    starts[first + 1] = 1
-    begun = np.cumsum(starts)[at]  # words that begin before the place
-    before = begun - 1 - letter[at - 1]
-    heads = np.repeat(begun[np.cumsum(size) - size], size)  # words of earlier texts
-    before = np.where(before >= heads, before, len(first))
-    word = (so_far[at].astype(np.uint64) << np.uint64(9)) | s[at - 1]
-    return [*out, _high(word * _K[2]), _high((word ^ (whole[before].astype(np.uint64) << np.uint64(17))) * _K[3])]
+        np.cumsum(so_far, out=so_far)
+        base[own] = so_far.take(first - 1)
+        so_far -= base.take(begun)
+        so_far *= letter
+        whole[own] = so_far.take(final)
+    so_far += s * _C[1]
+    word = _mix32(so_far)
+    before = begun
+    before -= letter
+    both = whole.take(before)
+    both *= _C[0]
+    both ^= word
+    return [recent.take(last), word.take(last), _mix32(both).take(last)]
 
 
 def _spelled(prev: np.ndarray, sym: np.ndarray, codes: Codes):
@@ -196,6 +221,11 @@ def _shift(slots: int) -> np.uint32:
     return np.uint32(32 - (slots.bit_length() - 1))
 
 
+def slot_count(symbols: int) -> int:
+    """Slots of each context's table for so many training symbols."""
+    return 1 << min(MAX_BITS, max(MIN_BITS, symbols.bit_length()))
+
+
 def count_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(_SYMBOLS * _SYMBOLS, np.int64)
     for a, b in _groups(offsets, 1 << 20):
@@ -204,20 +234,26 @@ def count_pairs(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total
 
 
+def _parts(n: int) -> Iterator[slice]:
+    return (slice(i, i + PART) for i in range(0, n, PART))
+
+
 def count_bits(data: np.ndarray, offsets: np.ndarray, codes: Codes, into: np.ndarray) -> None:
     """Adds the zeros and ones of all contexts to into[order, 2 * slot + bit]."""
     shift, one = _shift(into.shape[1] // 2), into.dtype.type(1)
-    for a, b in _groups(offsets, 1 << 18):
+    for a, b in _groups(offsets, GROUP):
         stream, at, size = _streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        owner, where, _ = _spelled(stream[at - 1], stream[at], codes)
-        node, bit = codes.node_hash.take(where), codes.bits.take(where)
-        for own, c in zip(into, _contexts(stream, at, size), strict=True):
-            slot = c.take(owner, mode="clip")
-            slot += node
-            slot >>= shift
-            slot <<= np.uint32(1)
-            slot |= bit
-            np.add.at(own, slot.astype(np.intp), one)
+        contexts, prev, sym = _contexts(stream, at, size), stream.take(at - 1), stream.take(at)
+        for part in _parts(len(at)):
+            owner, where, _ = _spelled(prev[part], sym[part], codes)
+            node, bit = codes.node_hash.take(where, mode="clip"), codes.bits.take(where, mode="clip")
+            for own, c in zip(into, contexts, strict=True):
+                slot = c[part].take(owner, mode="clip")
+                slot += node
+                slot >>= shift
+                slot <<= np.uint32(1)
+                slot |= bit
+                np.add.at(own, slot.astype(np.intp), one)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -251,35 +287,53 @@ class Model:
             weights = np.full((ORDERS, _GATES), 0.3 * _STEP, np.float32)
         self.weights = weights
 
-    def _features(self, stream, at, size, order=None):
+    def _features(self, stream, at, size):
         """Steps of log-odds of each bit by context, the bits, their gates, the symbols that own them and the bits of each symbol."""
-        contexts = _contexts(stream, at, size)
-        if order is not None:
-            at, contexts = at[order], [c[order] for c in contexts]
-        owner, where, n = _spelled(stream[at - 1], stream[at], self.codes)
-        node, shift = self.codes.node_hash.take(where), _shift(self.tables.shape[1])
+        return self._steps(stream.take(at - 1), stream.take(at), _contexts(stream, at, size))
+
+    def _steps(self, prev, sym, contexts):
+        owner, where, n = _spelled(prev, sym, self.codes)
+        node, shift = self.codes.node_hash.take(where, mode="clip"), _shift(self.tables.shape[1])
         x = np.empty((ORDERS, len(where)), np.int8)
         for k, c in enumerate(contexts):
             slot = c.take(owner, mode="clip")
             slot += node
             slot >>= shift
             self.tables[k].take(slot, out=x[k], mode="clip")
-        gate = self.codes.depth.take(where) * np.uint8(4) + (x[0] != 0) * np.uint8(2) + (x[2] != 0)
-        return x, self.codes.bits.take(where), gate, owner, n
+        gate = self.codes.depth.take(where, mode="clip")
+        gate <<= np.uint8(2)
+        gate |= (x[0] != 0).view(np.uint8) << np.uint8(1)
+        gate |= (x[2] != 0).view(np.uint8)
+        return x, self.codes.bits.take(where, mode="clip"), gate, owner, n
 
     def spread(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """How many bits of the given texts have each level of log-odds in each context, each gate and each value."""
-        total = np.zeros(_CELLS, np.int64)
-        for a, b in _groups(offsets, 1 << 18):
-            x, y, gate, _, _ = self._features(*_streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-            cell = _LEVEL_OF.take(x[0].view(np.uint8), mode="clip")
-            for own in x[1:]:
-                cell *= np.int32(_LEVELS)
-                cell += _LEVEL_OF.take(own.view(np.uint8), mode="clip")
-            cell *= np.int32(2 * _GATES)
-            cell += (gate << np.uint8(1)) | y
-            np.add.at(total, cell.astype(np.intp), 1)
-        return total
+        total, some, held = np.zeros(_CELLS, np.int64), np.zeros(_CELLS, np.uint32), 0
+        one, scale = some.dtype.type(1), np.float32(1 / LEVEL)
+        for a, b in _groups(offsets, GROUP):
+            stream, at, size = _streams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            contexts, prev, sym = _contexts(stream, at, size), stream.take(at - 1), stream.take(at)
+            for part in _parts(len(at)):
+                x, y, gate, _, _ = self._steps(prev[part], sym[part], [c[part] for c in contexts])
+                # numbers of cells fit into floats
+                level = x.astype(np.float32)
+                level *= scale
+                np.rint(level, out=level)
+                level += _LEVELS // 2
+                cell = level[0]
+                for own in level[1:]:
+                    cell *= _LEVELS
+                    cell += own
+                cell *= 2 * _GATES
+                gate <<= np.uint8(1)
+                gate |= y
+                cell += gate
+                np.add.at(some, cell.astype(np.intp), one)
+                held += len(prev[part])
+                if held > _SAFE:
+                    total += some
+                    some[:], held = 0, 0
+        return total + some
 
     def fit(self, data: np.ndarray, offsets: np.ndarray) -> None:
         """The first weights for the given texts."""
@@ -308,7 +362,7 @@ class Model:
     def bits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text, its end included."""
         out = np.zeros(len(offsets) - 1)
-        for a, b in _groups(offsets, 1 << 18):
+        for a, b in _groups(offsets, GROUP):
             cost, size = self.symbol_bits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
             out[a:b] = np.add.reduceat(cost, np.cumsum(size) - size)
         return out
@@ -316,44 +370,43 @@ class Model:
     def symbol_bits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each symbol of all texts, ends included, and the symbols of each text."""
         stream, at, size = _streams(data, offsets)
+        contexts, prev, sym = _contexts(stream, at, size), stream.take(at - 1), stream.take(at)
         doc = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        place = np.arange(len(at)) - (np.cumsum(size) - size).take(doc)
         blocks = -(-size // BLOCK)
-        lane = (np.cumsum(blocks) - blocks)[doc] + place // BLOCK
-        chunk = (place % BLOCK) // CHUNK
+        lane = (np.cumsum(blocks) - blocks).take(doc) + place // BLOCK
+        lane *= _GATES
+        chunk = (place % BLOCK // CHUNK).astype(np.uint16)
         order = np.argsort(chunk, kind="stable")  # chunk by chunk, the lanes in order in each
-        lane, chunk = lane[order], chunk[order]
-        x, y, gate, owner, n = self._features(stream, at, size, order)
-        own = (lane * _GATES).take(owner, mode="clip")
-        own += gate
-        lanes = int(blocks.sum())
-        weights = np.tile(self.weights, (1, lanes))
-        done = np.cumsum(n)
-        ends = np.searchsorted(chunk, np.arange(int(chunk.max()) + 2))
+        ends = np.append(0, np.cumsum(np.bincount(chunk)))
+        weights = np.tile(self.weights, (1, int(blocks.sum())))
         rate = np.float32(RATE * _STEP * _STEP)
         cost = np.empty(len(at))
-        i = 0
         for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            j = int(done[e - 1])
-            gates, sign = own[i:j], y[i:j].astype(np.float32) * 2 - 1
-            steps = x[:, i:j].astype(np.float32)
-            z = weights[0].take(gates, mode="clip") * steps[0]
+            now = order[s:e]
+            x, y, gate, owner, n = self._steps(prev.take(now), sym.take(now), [c.take(now) for c in contexts])
+            own = lane.take(now).take(owner, mode="clip")
+            own += gate
+            # steps towards the other bit
+            x *= 1 - 2 * y.view(np.int8)
+            steps = x.astype(np.float32)
+            z = weights[0].take(own, mode="clip")
+            z *= steps[0]
             for k in range(1, ORDERS):
-                z += weights[k].take(gates, mode="clip") * steps[k]
+                more = weights[k].take(own, mode="clip")
+                more *= steps[k]
+                z += more
             np.clip(z, -_LIMIT, _LIMIT, out=z)
-            z *= sign
-            odds = np.exp(-z)  # of the other bit
+            odds = np.exp(z, out=z)  # of the other bit
             total = odds + 1
             # a symbol's cost is the logarithm of a product, which stays within a double for so many bits
-            heads = done[s:e] - n[s:e] - i
-            cost[s:e] = np.log(np.multiply.reduceat(total.astype(np.float64), heads)) if n[s:e].max() <= 40 else np.add.reduceat(np.log(total), heads, dtype=np.float64)
-            error = sign * odds / total
+            heads = np.cumsum(n) - n
+            cost[now] = np.log(np.multiply.reduceat(total.astype(np.float64), heads)) if n.max() <= 40 else np.add.reduceat(np.log(total), heads, dtype=np.float64)
+            odds /= total
+            steps *= odds
             for k in range(ORDERS):
-                weights[k] += rate * np.bincount(gates, error * steps[k], weights.shape[1]).astype(np.float32)
-            i = j
-        out = np.empty(len(at))
-        out[order] = cost
-        return out / np.log(2), size
+                weights[k] -= rate * np.bincount(own, steps[k], weights.shape[1]).astype(np.float32)
+        return cost / np.log(2), size
 
 
 def _texts(docs: DataFrame, folds: int) -> DataFrame:
@@ -478,7 +531,7 @@ def train(docs: DataFrame, folds: int = FOLDS) -> Model:
     texts = _texts(docs, folds).where("fold <> 0")
     pairs = _summed(texts, lambda data, offsets, half: count_pairs(data, offsets), _SYMBOLS * _SYMBOLS).reshape(_SYMBOLS, _SYMBOLS)
     codes = Codes(pairs.astype(np.float64))
-    slots = 1 << min(MAX_BITS, max(MIN_BITS, int(pairs.sum()).bit_length()))
+    slots = slot_count(int(pairs.sum()))
     shared = docs.sparkSession.sparkContext.broadcast(codes.__dict__)
     every, *halves = _tables(texts, shared, slots)
     model = Model(codes, every.copy())

@@ -279,6 +279,44 @@ def test_lm_spells_symbols_once(monkeypatch):
     assert where.tolist() == [codes.offset[p, s] + k for p, s, m in zip(prev.tolist(), sym.tolist(), n.tolist(), strict=True) for k in range(m)]
 
 
+def test_lm_works_in_parts(monkeypatch):
+    """Bits of a bounded number of symbols are held at a time, and results do not depend on that number."""
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 9), dtype=np.uint8)) for _ in range(500)]
+    texts = [b" ".join(words[int(k)] for k in rng.zipf(1.4, n) % 500) for n in (60000, 0, 700, 1)]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    codes, seen, spelled = lm.Codes(lm.count_pairs(data, offsets).reshape(257, 257).astype(float)), [], lm._spelled
+    monkeypatch.setattr(lm, "_spelled", lambda prev, sym, codes: seen.append(len(sym)) or spelled(prev, sym, codes))
+
+    def run():
+        counts = np.zeros((lm.ORDERS, 2 << 18), np.uint32)
+        lm.count_bits(data, offsets, codes, counts)
+        model = lm.Model(codes, np.stack([lm.log_odds(c.reshape(-1, 2)) for c in counts]))
+        return counts, model.spread(data, offsets), model.bits(data, offsets)
+
+    whole = run()
+    assert sum(seen) == 3 * (len(data) + 4) and max(seen) <= 1 << 15 and len(data) > 3 << 15
+    monkeypatch.setattr(lm, "PART", 1000)
+    monkeypatch.setattr(lm, "GROUP", 1000)
+    monkeypatch.setattr(lm, "_SAFE", 5000)
+    small = run()
+    assert (whole[0] == small[0]).all() and (whole[1] == small[1]).all() and np.allclose(whole[2], small[2], rtol=1e-12)
+
+
+def test_lm_nodes_side_by_side():
+    """A context's nodes have neighbouring slots, each its own, in the order of their weights."""
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 1000, (257, 257)).astype(float)
+    codes, shift = lm.Codes(pairs), lm._shift(lm.slot_count(int(pairs.sum())))
+    for prev in (32, 97, 256):
+        own = np.concatenate([np.arange(codes.length[prev, s]) + codes.offset[prev, s] for s in lm._ALPHABET])
+        slot = {}
+        for node, place in zip(codes.nodes[own].tolist(), (codes.node_hash[own] >> shift).tolist(), strict=True):
+            assert slot.setdefault(node, place) == place
+        assert sorted(slot.values()) == list(range(len(lm._ALPHABET) - 1))
+        assert set(codes.node_hash[codes.offset[prev, lm._ALPHABET]].tolist()) == {0}
+
+
 def test_lm_counts():
     data = b"abab a"
     codes = lm.Codes(np.ones((257, 257)))
